@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import licenses, pii, quality
+from quire.llm import licenses, pii, quality, toxicity
 from quire.llm.common import table
 
 
@@ -18,8 +18,13 @@ def op7_pii(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
+
+
 def queries():
-    named = (op3_quality_rules, op5_license_scan, op7_pii)
+    named = (op3_quality_rules, op5_license_scan, op7_pii, op9_toxicity)
     return {f.__name__: f for f in named}
 
 
