@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import licenses, pii, quality, toxicity
+from quire.llm import decontaminate, licenses, pii, quality, toxicity
 from quire.llm.common import table
 
 
@@ -23,8 +23,12 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
 
 
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    named = (op3_quality_rules, op5_license_scan, op7_pii, op9_toxicity)
+    named = (op3_quality_rules, op5_license_scan, op7_pii, op9_toxicity, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
