@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import decontaminate, licenses, pii, quality, toxicity
+from quire.llm import decontaminate, jaccard, licenses, pii, quality, toxicity
 from quire.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op5_license_scan(spark, sf_dir):
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
@@ -28,7 +32,7 @@ def op10_decontaminate(spark, sf_dir):
 
 
 def queries():
-    named = (op3_quality_rules, op5_license_scan, op7_pii, op9_toxicity, op10_decontaminate)
+    named = (op3_quality_rules, op5_license_scan, op6_jaccard_join, op7_pii, op9_toxicity, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
