@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, decontaminate, jaccard, licenses, pii, quality, toxicity
+from quire.llm import chat, decontaminate, html, jaccard, licenses, pii, quality, toxicity
 from quire.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_chat_format(spark, sf_dir):
     return chat.digest(chat.windows(chat.with_control_strings(table(spark, sf_dir, "conversations"))))
 
 
+def op2_html_extract(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.digest(quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -36,7 +40,7 @@ def op10_decontaminate(spark, sf_dir):
 
 
 def queries():
-    named = (op1_chat_format, op3_quality_rules, op5_license_scan, op6_jaccard_join, op7_pii, op9_toxicity, op10_decontaminate)
+    named = (op1_chat_format, op2_html_extract, op3_quality_rules, op5_license_scan, op6_jaccard_join, op7_pii, op9_toxicity, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
