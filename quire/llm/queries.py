@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, decontaminate, html, jaccard, licenses, pii, quality, toxicity
+from quire.llm import bpe, chat, decontaminate, html, jaccard, licenses, pii, quality, toxicity
 from quire.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality.digest(quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op4_bpe(spark, sf_dir):
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -40,7 +44,7 @@ def op10_decontaminate(spark, sf_dir):
 
 
 def queries():
-    named = (op1_chat_format, op2_html_extract, op3_quality_rules, op5_license_scan, op6_jaccard_join, op7_pii, op9_toxicity, op10_decontaminate)
+    named = (op1_chat_format, op2_html_extract, op3_quality_rules, op4_bpe, op5_license_scan, op6_jaccard_join, op7_pii, op9_toxicity, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
