@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, chat, decontaminate, html, jaccard, licenses, pii, quality, toxicity
+from quire.llm import bpe, chat, cotrain, decontaminate, html, jaccard, licenses, pii, quality, toxicity
 from quire.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op7_pii(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op8_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.digest(cotrain.score(docs, cotrain.train(docs, table(spark, sf_dir, "labels"))))
+
+
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
@@ -44,7 +49,7 @@ def op10_decontaminate(spark, sf_dir):
 
 
 def queries():
-    named = (op1_chat_format, op2_html_extract, op3_quality_rules, op4_bpe, op5_license_scan, op6_jaccard_join, op7_pii, op9_toxicity, op10_decontaminate)
+    named = (op1_chat_format, op2_html_extract, op3_quality_rules, op4_bpe, op5_license_scan, op6_jaccard_join, op7_pii, op8_quality_classifier, op9_toxicity, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
