@@ -1,11 +1,301 @@
-"""Registered queries over the provided tables, each with its SQL oracle."""
+"""Registered queries over the provided tables, each with its SQL oracle.
+
+The tables hold no paged documents, so the operators run on analogues: a
+conversation is a document, its turns are pages and its user turns bookmarks;
+a document's lines are pages; regions and nations form an outline; headings
+of web pages are titles.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import headings as H
+from quire.functions import lookups as L
+from quire.functions import pages as P
+from quire.operators import candidates, headings, pages, segments
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    def put(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _bookmarks(spark, d):
+    turns = table(spark, d, "conversations")
+    docs = turns.groupBy("conv_id").agg((F.max("turn") + 1).cast("int").alias("num_pages"))
+    marks = turns.filter("role = 'user'").select("conv_id", F.col("turn").cast("int").alias("ord"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("title"), F.col("turn").cast("int").alias("start"))
+    return marks, docs
+
+
+_SEGMENTS = """
+    WITH docs AS (SELECT conv_id, max(turn) + 1 AS num_pages FROM conversations GROUP BY conv_id),
+    marks AS (
+        SELECT c.conv_id, c.turn AS st, 'turn ' || c.turn AS title, num_pages,
+               row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS seq,
+               coalesce(lead(c.turn) OVER (PARTITION BY c.conv_id ORDER BY c.turn), num_pages) AS nx
+        FROM conversations c JOIN docs USING (conv_id) WHERE role = 'user'),
+    seg AS (SELECT conv_id, seq, title, st, CASE WHEN nx <= st THEN least(st + 1, num_pages) ELSE nx END AS en FROM marks)
+"""
+
+
+@query(f'{_SEGMENTS} SELECT conv_id, CAST(seq AS INT) AS seq, title, CAST(st AS INT) AS "start", CAST(en AS INT) AS "end" FROM seg')
+def segments_(spark, d):
+    """Bookmarks to segments."""
+    marks, docs = _bookmarks(spark, d)
+    return segments.segments(marks, docs, "conv_id")
+
+
+QUERIES["segments"], ORACLES["segments"] = QUERIES.pop("segments_"), ORACLES.pop("segments_")
+
+
+@query(f"{_SEGMENTS} SELECT conv_id, CAST(seq AS INT) AS seq, CAST(unnest(range(st, en)) AS INT) AS page FROM seg")
+def segment_pages_explode(spark, d):
+    marks, docs = _bookmarks(spark, d)
+    return segments.segment_pages(segments.segments(marks, docs, "conv_id"), "conv_id").select("conv_id", "seq", "page")
+
+
+@query(f"{_SEGMENTS} SELECT conv_id, CAST(seq AS INT) AS seq, CAST(turn AS INT) AS page, role FROM seg JOIN conversations c USING (conv_id) WHERE turn >= st AND turn < en")
+def segment_pages_join(spark, d):
+    marks, docs = _bookmarks(spark, d)
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("page"), "role")
+    return segments.assign_pages(turns, segments.segments(marks, docs, "conv_id"), "conv_id").select("conv_id", "seq", "page", "role")
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '[^a-zA-Z0-9 \\-]', '', 'g'), ' +', ' ', 'g'), ' ') AS slug FROM pages")
+def slug_titles(spark, d):
+    return table(spark, d, "pages").select("page_id", P.slug(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("slug"))
+
+
+@query(
+    """WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents)
+    SELECT doc_id, CAST(page AS INT) AS page, line FROM lines WHERE page IN (1, 2, 3, 5)"""
+)
+def page_select(spark, d):
+    docs = table(spark, d, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).alias("page"), "line")
+    requests = docs.select("doc_id", F.lit("5,1-3, 2,9-7").alias("pages"))
+    return pages.select(lines, requests)
+
+
+@query("SELECT doc_id, 5 AS page FROM documents")
+def preview_first(spark, d):
+    return pages.preview(table(spark, d, "documents").select("doc_id", F.lit("5,1-3").alias("pages")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey < 1000 THEN lpad(CAST(o_orderkey AS VARCHAR), 3, '0') ELSE CAST(o_orderkey AS VARCHAR) END AS padded FROM orders")
+def padded_name(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", P.padded(F.col("o_orderkey")).alias("padded"))
+
+
+@query("SELECT right('000' || CAST(o_orderkey AS VARCHAR), 3) AS name, count(*) AS pages FROM orders GROUP BY 1")
+def pad3_collisions(spark, d):
+    return table(spark, d, "orders").groupBy(P.padded_last(F.col("o_orderkey")).alias("name")).agg(F.count("*").alias("pages"))
+
+
+_FILE = "'page_' || CASE WHEN o_orderkey < 1000 THEN lpad(CAST(o_orderkey AS VARCHAR), 3, '0') ELSE CAST(o_orderkey AS VARCHAR) END"
+
+
+@query(f"SELECT o_custkey, {_FILE} AS file, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY {_FILE}) AS INT) AS place FROM orders")
+def lexicographic_order(spark, d):
+    """A customer is a document, its orders are pages."""
+    from pyspark.sql import Window
+
+    rows = table(spark, d, "orders").select("o_custkey", P.page_file(F.col("o_orderkey")).alias("file"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("o_custkey").orderBy("file")))
+
+
+@query(
+    """WITH RECURSIVE entries AS (
+        SELECT CAST(r_regionkey AS INT) AS id, CAST(NULL AS INT) AS parent, CAST(r_regionkey AS INT) AS ord, r_name AS title FROM region
+        UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_nationkey, n_name FROM nation),
+    outline AS (
+        SELECT id, title, [ord] AS path FROM entries WHERE parent IS NULL
+        UNION ALL SELECT e.id, e.title, list_append(o.path, e.ord) FROM entries e JOIN outline o ON e.parent = o.id)
+    SELECT id, title, CAST(row_number() OVER (ORDER BY path) AS INT) AS ord FROM outline"""
+)
+def outline_flatten(spark, d):
+    one = F.lit(0).alias("doc_id")
+    top = table(spark, d, "region").select(one, F.col("r_regionkey").alias("id"), F.lit(None).cast("int").alias("parent"), F.col("r_regionkey").alias("ord"), F.col("r_name").alias("title"))
+    below = table(spark, d, "nation").select(one, (F.col("n_nationkey") + 100).alias("id"), F.col("n_regionkey").alias("parent"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("title"))
+    return segments.flatten_outline(top.unionByName(below).withColumn("start", F.col("ord"))).select("id", "title", "ord")
+
+
+_COUNTERS = """WITH h AS (
+        SELECT r_regionkey AS region, -1 AS pos, 'section' AS level FROM region
+        UNION ALL SELECT n_regionkey, n_nationkey, 'subsection' FROM nation)
+    SELECT region, pos, level, CAST(sum(CASE WHEN level = 'section' THEN 1 ELSE 0 END) OVER w AS INT) AS section,
+        CAST(sum(CASE WHEN level = 'subsection' THEN 1 ELSE 0 END) OVER {w} AS INT) AS subsection FROM h
+    WINDOW w AS (ORDER BY region, pos), v AS (PARTITION BY region ORDER BY pos)"""
+
+
+def _headings(spark, d):
+    top = table(spark, d, "region").select(F.col("r_regionkey").alias("region"), F.lit(-1).alias("pos"), F.lit("section").alias("level"))
+    below = table(spark, d, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("pos"), F.lit("subsection").alias("level"))
+    return top.unionByName(below).withColumn("doc_id", F.lit(0)).withColumn("at", F.struct("region", "pos"))
+
+
+@query(_COUNTERS.format(w="w"))
+def section_counters(spark, d):
+    return headings.counters(_headings(spark, d), order="at").select("region", "pos", "level", "section", "subsection")
+
+
+@query(_COUNTERS.format(w="v"))
+def section_counters_reset(spark, d):
+    return headings.counters(_headings(spark, d), order="at", continuous=False).select("region", "pos", "level", "section", "subsection")
+
+
+@query("SELECT n_nationkey, ['I','II','III','IV','V'][n_regionkey + 1] || '.' || n_nationkey AS number FROM nation")
+def roman_section(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", F.concat_ws(".", H.roman(F.col("n_regionkey") + 1), F.col("n_nationkey").cast("string")).alias("number"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, 'e') AND regexp_matches(p_name, 'a.*t')")
+def unordered_filter(spark, d):
+    return candidates.filtered(table(spark, d, "part").select("p_partkey", "p_name"), F.lit("a.*t e"), "p_name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a') AND length('a.') >= 2 AND NOT contains(p_name, 'a.')")
+def literal_filter(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_name").filter(P.long_enough(F.lit("a.")))
+    return candidates.filtered(rows, F.lit("a"), "p_name", literal=True).filter(~P.matches_literally(F.col("p_name"), F.lit("a.")))
+
+
+@query("SELECT doc_id, translate(text, '-′', '−''') AS text FROM documents")
+def glyph_translate(spark, d):
+    return table(spark, d, "documents").select("doc_id", L.translated(F.col("text")).alias("text"))
+
+
+@query("SELECT class, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) t JOIN (VALUES (',','punct'),(':','rel'),('.','ord'),('<','rel'),('>','rel'),('=','rel'),('+','rel'),('/','ord'),('*','ord'),('&','ord'),('#','ord'),('(','ord'),(')','ord'),('[','ord'),(']','ord'),('≠','rel'),('≈','rel'),('…','inner'),('′','inner'),('-','bin')) g(ch, class) ON t.c = g.ch GROUP BY class")
+def glyph_classes(spark, d):
+    chars = table(spark, d, "documents").select(F.explode(F.split("text", "")).alias("char")).groupBy("char").agg(F.count("*").alias("n"))
+    return chars.join(F.broadcast(L.glyph_table(spark)), "char").groupBy("class").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT vec_id, [CASE WHEN CAST(x AS DOUBLE) > 0.4 THEN 1 ELSE 0 END FOR x IN embedding] AS pixels FROM embeddings")
+def binarise_array(spark, d):
+    """A threshold rule on arrays; white is 1, the middle cut lies above the threshold here."""
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(x.cast("double") > P.threshold() / 100, F.lit(1)).otherwise(F.lit(0))).alias("pixels"))
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
+def first_ten(spark, d):
+    return candidates.shown(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), F.desc("p_retailprice"), "p_partkey").select("p_partkey", "p_name")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS merged FROM conversations GROUP BY conv_id")
+def ordered_merge(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("page"), "text")
+    return pages.merged(turns, "text", "conv_id").select("conv_id", F.array_join("payloads", "\n").alias("merged"))
+
+
+@query("SELECT p_partkey, 'parts-' || p_size || '-' || coalesce(nullif(trim(regexp_replace(p_type, '[^a-zA-Z0-9 \\-]', '', 'g'), ' '), ''), 'Section') || '.pdf' AS file FROM part")
+def segment_name(spark, d):
+    return table(spark, d, "part").select("p_partkey", P.segment_file(F.lit("parts"), F.col("p_size"), P.slug(F.col("p_type"))).alias("file"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '~\\citet[]{' || p_brand || '}' WHEN 1 THEN '~\\citep[]{' || p_brand || '}' ELSE NULL END AS reference FROM part")
+def cite_template(spark, d):
+    key = F.get(F.array(F.lit("t"), F.lit("p"), F.lit("?")), (F.col("p_partkey") % 3).cast("int"))
+    return table(spark, d, "part").select("p_partkey", L.citation(key, F.col("p_brand")).alias("reference"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 10 = 0 THEN 10 ELSE p_partkey % 10 END AS INT) AS pick FROM part")
+def numbered_pick(spark, d):
+    return table(spark, d, "part").select("p_partkey", P.numbered_pick((F.col("p_partkey") % 10).cast("int")).alias("pick"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '65' WHEN 1 THEN '40' ELSE 'x' END AS threshold FROM part")
+def threshold_argument(spark, d):
+    arguments = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("a.pdf"), F.lit("Threshold:a=65"))).when(F.col("p_size") % 3 == 1, F.array(F.lit("1-3"))).otherwise(F.array(F.lit("threshold:1"), F.lit("threshold=x")))
+    return table(spark, d, "part").select("p_partkey", P.threshold_text(arguments).alias("threshold"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS stem FROM pages")
+def path_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", P.folder_of(F.col("url")).alias("folder"), P.stem_of(F.col("url")).alias("stem"))
+
+
+@query(
+    """WITH l AS (SELECT s_suppkey, s_name || ';;' || s_nationkey || ';' || (s_nationkey + 2) AS line FROM supplier)
+    SELECT s_suppkey, split_part(line, ';', 1) AS title, CAST(unnest(range(CAST(split_part(line, ';', 3) AS INT), CAST(split_part(line, ';', 4) AS INT) + 1)) AS INT) AS page FROM l"""
+)
+def parts_list(spark, d):
+    from quire.sources import files
+
+    line = F.concat_ws(";", "s_name", F.lit(""), F.col("s_nationkey").cast("string"), (F.col("s_nationkey") + 2).cast("string"))
+    lines = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), line.alias("value"))
+    return segments.part_pages(files.parsed_parts(lines)).select(F.col("ord").alias("s_suppkey"), "title", "page")
+
+
+_STYLES = ("", "evans,hempel", "inline,hempel,sectionspace=::", "evanshempel", "evans,nosect,para", "tf,oldnums,so", "inline,so=ls,sonum=30")
+
+
+@query(
+    """SELECT n_nationkey,
+        ['centred','evans','inline','none','evans','centred','inline'][n_nationkey % 7 + 1] AS layout,
+        ['lining','lining','lining','lining','lining','oldstyle','lining'][n_nationkey % 7 + 1] AS font,
+        ['','','','','§','',''][n_nationkey % 7 + 1] AS symbol,
+        [NULL,NULL,NULL,NULL,NULL,'soul','30'][n_nationkey % 7 + 1] AS letter_space,
+        CASE n_nationkey % 7 WHEN 2 THEN n_name || '.::' WHEN 4 THEN '' WHEN 6 THEN n_name || '.' ELSE n_name END AS shown
+    FROM nation"""
+)
+def heading_styles(spark, d):
+    texts = F.get(F.array(*map(F.lit, _STYLES)), F.col("n_nationkey") % 7)
+    rows = table(spark, d, "nation").withColumn("options", H.options_of(texts)).withColumn("level", F.lit("section")).withColumn("title", F.col("n_name"))
+    return headings.styled(rows, F.col("options"), F.lit(True)).select("n_nationkey", "layout", "font", "symbol", "letter_space", "shown")
+
+
+@query("SELECT n_nationkey, n_name || '.---' AS heading FROM nation")
+def heading_suffix(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", H.heading_end(F.col("n_name")).alias("heading"))
+
+
+@query("SELECT c_custkey, ['multiline','list','ref','file','literal','separated-values','language',NULL][c_custkey % 8 + 1] AS kind FROM customer")
+def field_kinds(spark, d):
+    field = F.get(F.array(*map(F.lit, ("note", "author", "xref", "file", "journal", "keywords", "language", "doi"))), (F.col("c_custkey") % 8).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", L.field_kind(field).alias("kind"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 2 THEN NULL ELSE '~\\eqref{eq:' || c_name || '}' END AS reference FROM customer")
+def label_references(spark, d):
+    environment = F.get(F.array(*map(F.lit, ("eqclaim", "exe", "eqtext"))), (F.col("c_custkey") % 3).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", L.label_reference(environment, F.col("c_name")).alias("reference"))
+
+
+@query("SELECT DISTINCT name FROM (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation)")
+def candidate_union(spark, d):
+    nations = table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    return candidates.union(nations, table(spark, d, "region").select(F.col("r_name").alias("name")), nations)
+
+
+@query("SELECT o_orderkey, upper(substr(o_orderpriority, 3, 1)) || lower(regexp_replace(substr(o_orderpriority, 4), '[ ,].*$', '')) || year(o_orderdate) AS cite_key FROM orders")
+def citation_keys(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", L.citation_key(F.regexp_replace(F.substring("o_orderpriority", 3, 40), "[ ,].*$", ""), F.year("o_orderdate")).alias("cite_key"))
+
+
+@query("SELECT '\"' || replace(p_name, '\\', '/') || '\"' AS line FROM part")
+def manifest(spark, d):
+    return table(spark, d, "part").select(P.manifest_line(F.col("p_name")).alias("line"))
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
