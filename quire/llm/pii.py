@@ -22,13 +22,13 @@ rows give equal results; other columns of the input are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_rows
+from quire.llm.common import map_rows, small_batches
 
 #: The kinds of the base expressions, in the order that ties are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -178,17 +178,19 @@ def redacted(text: str | None, anchors) -> str | None:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All rows and columns; the text without personal data."""
-    import pyarrow as pa
-
-    from quire.llm.common import small_batches
+    """All rows and columns; the text without personal data, and n_chars, where there is one, its new length."""
 
     def run(batches):
         anchors = automaton()
         for batch in small_batches(batches, text_col):
             at = batch.schema.get_field_index(text_col)
-            new = [redacted(t, anchors) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, type=batch.schema.field(at).type))
+            old = batch.column(at).to_pylist()
+            new = [redacted(t, anchors) for t in old]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, type=batch.schema.field(at).type))
+            if (n := batch.schema.get_field_index("n_chars")) >= 0:
+                sizes = [size if a == b else len(b) for a, b, size in zip(old, new, batch.column(n).to_pylist())]
+                batch = batch.set_column(n, batch.schema.field(n), pa.array(sizes, type=batch.schema.field(n).type))
+            yield batch
 
     return docs.mapInArrow(run, docs.schema)
 
