@@ -43,7 +43,7 @@ GRID = {
     "dup_line_ratio": (0.1, 0.2, 0.3, 0.5, 0.7),
     "repeat_ratio": (0.05, 0.1, 0.15, 0.2, 0.25),
     "long_words": (9.0, 11.0, 13.0, 16.0, 20.0),
-    "short_words": (-2.0, -2.5, -3.0, -3.5, -4.0),
+    "short_words": (-4.0, -3.5, -3.0, -2.5, -2.0),
 }
 
 

@@ -1,8 +1,8 @@
-"""The queries of this subpackage, and their SQL oracles."""
+"""The queries of this subpackage."""
 
 from __future__ import annotations
 
-from quire.llm import bpe, chat, cotrain, decontaminate, html, jaccard, licenses, pii, quality, toxicity
+from quire.llm import bpe, chat, cotrain, decontaminate, html, jaccard, licenses, oracles, pii, quality, toxicity
 from quire.llm.common import table
 
 
@@ -54,4 +54,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op2_html_extract": oracles.OP2, "op3_quality_rules": oracles.OP3, "op6_jaccard_join": oracles.OP6}
