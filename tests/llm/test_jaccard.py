@@ -59,13 +59,23 @@ def case():
 def test_components_match_brute_force(spark, monkeypatch):
     texts = case() + real_texts(spark, 80)
     want = brute(texts)
-    for frequent in (jaccard.FREQUENT, 3):
+    for frequent in (jaccard.FREQUENT, 1000):
         monkeypatch.setattr(jaccard, "FREQUENT", frequent)
         got = sorted(tuple(r) for r in jaccard.join(documents(spark, texts)).collect())
         assert got == want
     assert len({c for _, _, c in want}) < len(texts) - 100
 
 
+def test_hot_runs_lose_nothing(spark, monkeypatch):
+    texts = case()
+    want = brute(texts)
+    for run, block, rounds in ((4, 8, 0), (16, 512, 1), (1, 3, 0)):
+        monkeypatch.setattr(jaccard, "HOT_RUN", run)
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        assert sorted(tuple(r) for r in jaccard.join(documents(spark, texts)).collect()) == want
+
+
 def test_few_pairs_in_a_group_of_near_copies(spark):
     hub = babble(77, 300)
     docs = documents(spark, [mutated(hub, 3, s) for s in range(300)])
@@ -84,6 +94,17 @@ def test_nulls_repeats_and_empty(spark):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_deduplicate_keeps_one_of_each_group(spark):
+    texts = case()
+    docs = documents(spark, texts)
+    kept = jaccard.deduplicate(docs.unionByName(docs.filter("doc_id % 7 = 0")))
+    assert kept.columns == docs.columns
+    want = sorted([i for i, n, c in brute(texts) if i == c and n] + [i for i, n, c in brute(texts) if not n] + [i for i, n, c in brute(texts) if not n and i % 7 == 0])
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    odd = spark.createDataFrame([(None, babble(1, 50)), (None, babble(1, 50)), (7, babble(1, 50)), (7, babble(2, 50)), (8, babble(2, 50)), (9, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in jaccard.deduplicate(odd).collect()) == sorted([(0, babble(1, 50)), (0, babble(1, 50)), (7, babble(1, 50)), (7, babble(2, 50)), (9, "")])
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 400)] + [(1000 - i, 999 - i) for i in range(200)] + [(5000, 5001), (5002, 5001)]
     random.Random(3).shuffle(edges)
