@@ -4,13 +4,14 @@ Encoding runs in three steps without a shuffle:
 
 1. texts are cut into the pieces of the tokenizer's pattern; each task numbers
    its distinct pieces (words) and hands new ones on with every batch of
-   texts, which are then lists of word numbers;
+   texts, which are then lists of word numbers.  A word is handed on as its
+   byte array with one character a byte, that of the byte's id;
 2. Spark folds the ranked merges over the bytes of each distinct word: the
-   state is the array of cuts between tokens and the array of the ranks of
-   neighbouring pairs; a step takes the least rank, leftmost, drops its cut
-   and looks up the two pairs that this changes.  The rank map is a literal,
-   the value of a one-row scalar subquery, of a fixed number of entries (that
-   of the rank file);
+   state is the string of token characters and the string of the characters
+   that neighbouring pairs merge to.  Characters are in the order of ranks, so
+   a step takes the least one, leftmost, puts it in the pair's place and looks
+   up the two pairs that this changes.  The rank map is a literal, the value
+   of a one-row scalar subquery, whose size is that of the rank file;
 3. word numbers are replaced by the words' ids.
 
 Decoding maps ids to their binary pieces by an array literal and joins them.
@@ -22,23 +23,28 @@ step 3, in n log n time instead of n squared; the result is the same.
 Cases: a null or empty text has no tokens and decodes to no bytes.  Repeated
 rows are encoded each.  Empty tables give empty results; other columns are
 ignored.  Texts are encoded whole; special tokens' strings are ordinary text.
+Rank files of up to 55,000 tokens can be used.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import _arrow_schema, small_batches
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 LONG_WORD = 256
 MEMO = 400_000
+_FIRST = 32
+_NONE = "\uffff"  # no token; behind all characters
 
 
 def default_tokenizer() -> str:
@@ -52,14 +58,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def character(rank: int) -> str:
+    """A token's character; their order is that of ranks."""
+    if rank > 55_000:
+        raise ValueError("rank files of up to 55,000 tokens can be used")
+    return chr(rank + _FIRST)
+
+
+def letters(ranks: dict[bytes, int]) -> list[str]:
+    """The character of each byte's token."""
+    return [character(ranks[bytes([b])]) for b in range(256)]
+
+
 def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: array<map<binary, int>>, by hash of the key (Spark's xxhash64, seed 42)."""
+    """The rank map as a literal: array<map<pair, merged>>, by hash of the pair's two characters (Spark's xxhash64, seed 42)."""
     import xxhash
 
-    buckets: list[dict[bytes, int]] = [{} for _ in range(BUCKETS)]
+    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        buckets[xxhash.xxh64_intdigest(token, 42) & (BUCKETS - 1)][token] = rank
-    types = _arrow_schema(spark, "ranks array<map<binary,int>>")
+        for cut in range(1, len(token)):  # every pair of tokens that makes up this one
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                pair = character(left) + character(right)
+                buckets[xxhash.xxh64_intdigest(pair.encode(), 42) & (BUCKETS - 1)][pair] = character(rank)
+    types = _arrow_schema(spark, "ranks array<map<string,string>>")
     table = pa.Table.from_arrays([pa.array([[list(b.items()) for b in buckets]], types[0].type)], schema=types)
     return spark.createDataFrame(table).scalar()
 
@@ -79,34 +101,33 @@ def _bind(value: Column, f) -> Column:
 
 
 def fold(word: Column, table: Column) -> Column:
-    """Token ids of a word (binary): ranked merges folded over its bytes."""
+    """Token characters of a word's byte characters: ranked merges folded over them."""
 
-    def rank(start, end):
-        key = F.substring(word, start + 1, end - start)
-        return F.get(table, F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[key]
+    def merged(pair):
+        return F.coalesce(F.get(table, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[pair], F.lit(_NONE))
 
+    end = F.lit(LONG_WORD)
     n = F.length(word)
-    cuts = F.sequence(F.lit(0), n)
-    pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(i, i + 2))
-    state = F.struct(cuts.alias("cuts"), pairs.alias("ranks"))
-
-    def merged(acc, i):
-        """i: the 1-based pair to merge."""
-        c, r = acc["cuts"], acc["ranks"]
-        cut = lambda k: F.get(c, k)  # noqa: E731  0-based
-        before = F.when(i > 1, F.array(rank(cut(i - 2), cut(i + 1)))).otherwise(F.array().cast("array<int>"))
-        after = F.when(i < F.size(r), F.array(rank(cut(i - 1), cut(i + 2)))).otherwise(F.array().cast("array<int>"))
-        ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.size(r)))
-        return F.struct(F.concat(F.slice(c, F.lit(1), i), F.slice(c, i + 2, F.size(c))).alias("cuts"), ranks.alias("ranks"))
+    pairs = F.array_join(F.transform(F.sequence(F.lit(1), n - 1), lambda i: merged(F.substring(word, i, F.lit(2)))), "")
+    state = F.struct(word.alias("tokens"), pairs.alias("pairs"))
+
+    def merge(acc, i, least):
+        """i: the 1-based place of the pair."""
+        r = acc["pairs"]
+        tokens = F.concat(F.substring(acc["tokens"], F.lit(1), i - 1), least, F.substring(acc["tokens"], i + 2, end))
+
+        def then(t):
+            before = F.when(i > 1, merged(F.substring(t, i - 1, F.lit(2)))).otherwise("")
+            after = F.when(i < F.length(t), merged(F.substring(t, i, F.lit(2)))).otherwise("")
+            return F.struct(t.alias("tokens"), F.concat(F.substring(r, F.lit(1), i - 2), before, after, F.substring(r, i + 2, end)).alias("pairs"))
+
+        return _bind(tokens, then)
 
     def step(acc, _):
-        least = F.array_min(acc["ranks"])
-        return F.when(least.isNull(), acc).otherwise(_bind(F.array_position(acc["ranks"], least).cast("int"), lambda i: merged(acc, i)))
+        least = F.array_min(F.split(acc["pairs"], ""))
+        return _bind(least, lambda m: F.when((m == _NONE) | (m == ""), acc).otherwise(_bind(F.instr(acc["pairs"], m), lambda i: merge(acc, i, m))))
 
-    ids = lambda acc: F.zip_with(F.slice(acc["cuts"], 1, F.size(acc["cuts"]) - 1), F.slice(acc["cuts"], 2, F.size(acc["cuts"])), rank)
-    folded = F.aggregate(F.sequence(F.lit(2), n), state, step, ids)
-    whole = rank(F.lit(0), n)
-    return F.when(n < 2, F.array(whole)).otherwise(_bind(whole, lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(folded)))
+    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), state, step, lambda acc: acc["tokens"]))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -140,7 +161,7 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_NUMBERED = "ids array<long>, counts array<int>, numbers binary, words array<binary>, fresh boolean"
+_NUMBERED = "ids array<long>, counts array<int>, numbers binary, words array<string>, fresh boolean"
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -155,6 +176,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         import regex
 
         cut = regex.compile(public_tokenizers.PATTERN).findall
+        own = read_ranks(path)
+        by_byte = letters(own)
+
+        def shown(word: str) -> str:
+            """A word that is a token itself is its one character."""
+            raw = word.encode("utf-8")
+            rank = own.get(raw)
+            return character(rank) if rank is not None else "".join(map(by_byte.__getitem__, raw))
+
         known: dict[str, int] = {}
         for batch in small_batches(batches, text_col):
             fresh = len(known) > MEMO
@@ -168,7 +198,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                         known[w] = len(known)
                 counts.append(len(words))
                 numbers.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)).tobytes())
-            new = [w.encode("utf-8") for w in list(known)[first:]] if len(known) > first else []
+            new = [shown(w) for w in islice(known, first, None)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([batch.column(0).to_pylist()], types[0].type), pa.array([counts], types[1].type), pa.array([b"".join(numbers)], types[2].type), pa.array([new], types[3].type), pa.array([fresh])],
                 schema=types,
@@ -191,11 +221,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 if row.column(5)[0].as_py():
                     flat, sizes = [], []
                 tokens = row.column(3).flatten()
-                n = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
-                values = tokens.flatten().to_numpy().astype(np.int32)
+                n = pc.fill_null(pc.utf8_length(tokens), 0).to_numpy().astype(np.int64)
+                values = np.frombuffer("".join(pc.fill_null(tokens, "").to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int32) - _FIRST
                 if tokens.null_count:
-                    table_of = table_of or read_ranks(path)
-                    merged = iter([np.array(merge_long(w, table_of), np.int32) for w in row.column(4).flatten().to_pylist()])
+                    if table_of is None:
+                        table_of = read_ranks(path)
+                        byte_of = {c: b for b, c in enumerate(letters(table_of))}
+                    words = (bytes(map(byte_of.__getitem__, w)) for w in row.column(4).flatten().to_pylist())
+                    merged = iter([np.array(merge_long(w, table_of), np.int32) for w in words])
                     parts = np.split(values, np.cumsum(n)[:-1])
                     parts = [p if ok else next(merged) for p, ok in zip(parts, tokens.is_valid().to_pylist())]
                     n, values = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
