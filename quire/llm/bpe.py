@@ -5,7 +5,8 @@ Encoding runs in three steps without a shuffle:
 1. texts are cut into the pieces of the tokenizer's pattern; each task numbers
    its distinct pieces (words) and hands new ones on with every batch of
    texts, which are then lists of word numbers.  A word is handed on as its
-   byte array with one character a byte, that of the byte's id;
+   byte array with one character a byte, that of the byte's id, followed by
+   what its neighbouring bytes merge to;
 2. Spark folds the ranked merges over the bytes of each distinct word: the
    state is the string of token characters and the string of the characters
    that neighbouring pairs merge to.  Characters are in the order of ranks, so
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from itertools import islice
 
 import numpy as np
@@ -65,6 +67,23 @@ def character(rank: int) -> str:
     return chr(rank + _FIRST)
 
 
+def pair_characters(ranks: dict[bytes, int]) -> dict[str, str]:
+    """The character that each mergeable pair of token characters merges to."""
+    pairs = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):  # every pair of tokens that makes up this one
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                pairs[character(left) + character(right)] = character(rank)
+    return pairs
+
+
+def handed_on(word: bytes, by_byte: list[str], byte_pairs: dict[str, str]) -> str:
+    """The byte characters of a word and the characters that its neighbouring bytes merge to: what fold takes."""
+    t = "".join(map(by_byte.__getitem__, word))
+    return t + "".join([byte_pairs.get(t[i : i + 2], _NONE) for i in range(len(t) - 1)])
+
+
 def letters(ranks: dict[bytes, int]) -> list[str]:
     """The character of each byte's token."""
     return [character(ranks[bytes([b])]) for b in range(256)]
@@ -75,12 +94,8 @@ def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     import xxhash
 
     buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        for cut in range(1, len(token)):  # every pair of tokens that makes up this one
-            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if left is not None and right is not None:
-                pair = character(left) + character(right)
-                buckets[xxhash.xxh64_intdigest(pair.encode(), 42) & (BUCKETS - 1)][pair] = character(rank)
+    for pair, to in pair_characters(ranks).items():
+        buckets[xxhash.xxh64_intdigest(pair.encode(), 42) & (BUCKETS - 1)][pair] = to
     types = _arrow_schema(spark, "ranks array<map<string,string>>")
     table = pa.Table.from_arrays([pa.array([[list(b.items()) for b in buckets]], types[0].type)], schema=types)
     return spark.createDataFrame(table).scalar()
@@ -101,33 +116,35 @@ def _bind(value: Column, f) -> Column:
 
 
 def fold(word: Column, table: Column) -> Column:
-    """Token characters of a word's byte characters: ranked merges folded over them."""
+    """Token characters of a word: ranked merges folded over its bytes.
+
+    word: the characters of its bytes, followed by those that each pair of
+    neighbouring bytes merges to.
+    """
 
     def merged(pair):
         return F.coalesce(F.get(table, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[pair], F.lit(_NONE))
 
-    end = F.lit(LONG_WORD)
-    n = F.length(word)
-    pairs = F.array_join(F.transform(F.sequence(F.lit(1), n - 1), lambda i: merged(F.substring(word, i, F.lit(2)))), "")
-    state = F.struct(word.alias("tokens"), pairs.alias("pairs"))
-
-    def merge(acc, i, least):
-        """i: the 1-based place of the pair."""
-        r = acc["pairs"]
-        tokens = F.concat(F.substring(acc["tokens"], F.lit(1), i - 1), least, F.substring(acc["tokens"], i + 2, end))
+    def state(tokens, pairs):
+        return _bind(pairs, lambda r: F.struct(tokens.alias("tokens"), r.alias("pairs"), F.array_min(F.split(r, "")).alias("least")))
 
-        def then(t):
-            before = F.when(i > 1, merged(F.substring(t, i - 1, F.lit(2)))).otherwise("")
-            after = F.when(i < F.length(t), merged(F.substring(t, i, F.lit(2)))).otherwise("")
-            return F.struct(t.alias("tokens"), F.concat(F.substring(r, F.lit(1), i - 2), before, after, F.substring(r, i + 2, end)).alias("pairs"))
+    end = F.lit(LONG_WORD)
+    n = F.floor((F.length(word) + 1) / 2).cast("int")
 
-        return _bind(tokens, then)
+    def merge(acc, i):
+        """i: the 1-based place of the pair with the least rank."""
+        t, r, new = acc["tokens"], acc["pairs"], acc["least"]
+        before = F.when(i > 1, merged(F.concat(F.substring(t, i - 1, F.lit(1)), new))).otherwise("")
+        after = F.when(i < F.length(r), merged(F.concat(new, F.substring(t, i + 2, F.lit(1))))).otherwise("")
+        tokens = F.concat(F.substring(t, F.lit(1), i - 1), new, F.substring(t, i + 2, end))
+        return state(tokens, F.concat(F.substring(r, F.lit(1), i - 2), before, after, F.substring(r, i + 2, end)))
 
     def step(acc, _):
-        least = F.array_min(F.split(acc["pairs"], ""))
-        return _bind(least, lambda m: F.when((m == _NONE) | (m == ""), acc).otherwise(_bind(F.instr(acc["pairs"], m), lambda i: merge(acc, i, m))))
+        done = (acc["least"] == _NONE) | (acc["least"] == "")
+        return F.when(done, acc).otherwise(_bind(F.instr(acc["pairs"], acc["least"]), lambda i: merge(acc, i)))
 
-    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), state, step, lambda acc: acc["tokens"]))
+    start = state(F.substring(word, F.lit(1), n), F.substring(word, n + 1, end))
+    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["tokens"]))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -161,11 +178,43 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: The tokenizers' pattern for texts of code points below U+0250, whose letters, numbers and white space are listed; it is faster to match.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+class Numbers(dict):
+    """Numbers of words, by first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class Pieces:
+    """Binary pieces by id, laid end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            by_id[rank] = token
+        self.sizes = np.array([len(p) for p in by_id], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(by_id), np.uint8)
+
+    def joined(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """For each stretch of ids between bounds, its pieces concatenated."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        data = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[ids] - (ends - sizes), sizes)]
+        offsets = np.concatenate([[0], ends])[bounds].astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 _NUMBERED = "ids array<long>, counts array<int>, numbers binary, words array<string>, fresh boolean"
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(id, ids array<int>) of every row."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>) of every row; decoded adds what the ids decode to (binary), their pieces concatenated in the same pass."""
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
     ranks = read_ranks(path)
@@ -175,17 +224,22 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         import public_tokenizers
         import regex
 
-        cut = regex.compile(public_tokenizers.PATTERN).findall
+        any_script = regex.compile(public_tokenizers.PATTERN).findall
+        latin, beyond = re.compile(_LATIN).findall, re.compile("[^\x00-\u024f]").search
         own = read_ranks(path)
         by_byte = letters(own)
+        bytes_only = {character(own[bytes([a])]) + character(own[bytes([b])]): character(r) for a in range(256) for b in range(256) if (r := own.get(bytes([a, b]))) is not None}
+
+        def cut(text):
+            return any_script(text) if beyond(text) else latin(text)
 
         def shown(word: str) -> str:
             """A word that is a token itself is its one character."""
             raw = word.encode("utf-8")
             rank = own.get(raw)
-            return character(rank) if rank is not None else "".join(map(by_byte.__getitem__, raw))
+            return character(rank) if rank is not None else handed_on(raw, by_byte, bytes_only)
 
-        known: dict[str, int] = {}
+        known = Numbers()
         for batch in small_batches(batches, text_col):
             fresh = len(known) > MEMO
             if fresh:
@@ -193,9 +247,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             first, counts, numbers = len(known), [], []
             for text in batch.column(1).to_pylist():
                 words = cut(text) if text else []
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
                 counts.append(len(words))
                 numbers.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)).tobytes())
             new = [shown(w) for w in islice(known, first, None)]
@@ -207,13 +258,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     table = rank_table(spark, ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias(text_col))
     numbered = rows.mapInArrow(number, _NUMBERED)
-    short = F.transform("words", lambda w: F.when(F.length(w) <= LONG_WORD, fold(w, F.col("ranks"))))
-    long_words = F.filter("words", lambda w: F.length(w) > LONG_WORD)
+    short = F.transform("words", lambda w: F.when(F.length(w) < 2 * LONG_WORD, fold(w, F.col("ranks"))))
+    long_words = F.filter("words", lambda w: F.length(w) >= 2 * LONG_WORD)
     folded = numbered.withColumn("ranks", table).select("ids", "counts", "numbers", short.alias("tokens"), long_words.alias("long_words"), "fresh")
-    out_types = _arrow_schema(spark, f"{id_col} long, ids array<int>")
+    out_schema = f"{id_col} long, ids array<int>" + (", decoded binary" if decoded else "")
+    out_types = _arrow_schema(spark, out_schema)
 
     def resolve(batches):
-        table_of = None
+        table_of, pieces = None, None
         flat, sizes = [], []  # ids of the task's words
         for batch in batches:
             for k in range(batch.num_rows):
@@ -227,7 +279,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     if table_of is None:
                         table_of = read_ranks(path)
                         byte_of = {c: b for b, c in enumerate(letters(table_of))}
-                    words = (bytes(map(byte_of.__getitem__, w)) for w in row.column(4).flatten().to_pylist())
+                    words = (bytes(map(byte_of.__getitem__, w[: (len(w) + 1) // 2])) for w in row.column(4).flatten().to_pylist())
                     merged = iter([np.array(merge_long(w, table_of), np.int32) for w in words])
                     parts = np.split(values, np.cumsum(n)[:-1])
                     parts = [p if ok else next(merged) for p, ok in zip(parts, tokens.is_valid().to_pylist())]
@@ -244,9 +296,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 ids = value[np.arange(int(each.sum())) + np.repeat(start[numbers] - (ends - each), each)]
                 bounds = np.cumsum(row.column(1).flatten().to_numpy())
                 offsets = np.concatenate([[0], np.concatenate([[0], ends])[bounds]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([row.column(0).flatten().cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)).cast(out_types[1].type)], schema=out_types)
+                columns = [row.column(0).flatten().cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)).cast(out_types[1].type)]
+                if decoded:
+                    pieces = pieces or Pieces(read_ranks(path))
+                    columns.append(pieces.joined(ids, offsets).cast(out_types[2].type))
+                yield pa.RecordBatch.from_arrays(columns, schema=out_types)
 
-    return folded.mapInArrow(resolve, f"{id_col} long, ids array<int>")
+    return folded.mapInArrow(resolve, out_schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -256,6 +312,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return encoded.withColumn("__pieces", pieces).withColumn("decoded", joined).drop("__pieces")
 
 
-def digest(encoded: DataFrame, id_col: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
+def digest(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The query's columns of (id, ids, decoded)."""
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decode(encoded, tokenizer).select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -19,7 +19,7 @@ def op3_quality_rules(spark, sf_dir):
 
 
 def op4_bpe(spark, sf_dir):
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
 def op5_license_scan(spark, sf_dir):

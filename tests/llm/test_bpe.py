@@ -27,7 +27,7 @@ def texts(spark):
 @pytest.mark.parametrize("memo", [bpe.MEMO, 50])
 def test_ids_and_round_trip(spark, texts, monkeypatch, memo):
     monkeypatch.setattr(bpe, "MEMO", memo)
-    rows = bpe.digest(bpe.encode(documents(spark, texts))).collect()
+    rows = bpe.digest(bpe.encode(documents(spark, texts), decoded=True)).collect()
     assert len(rows) == len(texts)
     for r in rows:
         text = texts[r.doc_id] or ""
@@ -44,11 +44,27 @@ def test_heap_merges_like_the_library(word):
 def test_fold_merges_like_the_library(spark):
     pick = random.Random(2)
     words = [bytes(pick.choice(b" theandingtion\xc3\xa9") for _ in range(pick.randrange(1, 40))) for _ in range(400)]
-    by_byte = bpe.letters(RANKS)
-    frame = spark.createDataFrame([(w, "".join(by_byte[b] for b in w)) for w in words], "w binary, t string")
+    by_byte, pairs = bpe.letters(RANKS), bpe.pair_characters(RANKS)
+    frame = spark.createDataFrame([(w, bpe.handed_on(w, by_byte, pairs)) for w in words], "w binary, t string")
     got = frame.withColumn("ranks", bpe.rank_table(spark, RANKS)).select("w", bpe.fold(F.col("t"), F.col("ranks")).alias("t")).collect()
     assert all([ord(c) - ord(bpe.character(0)) for c in r.t] == ENCODING._core_bpe.encode_single_piece(bytes(r.w)) for r in got)
 
 
+def test_latin_pattern_cuts_like_the_full_one():
+    import regex
+
+    full = regex.compile(public_tokenizers.PATTERN)
+    assert all(bool(regex.match(rf"[{a}]", c)) == bool(regex.match(b, c)) for c in map(chr, range(0x250)) for a, b in ((bpe._L, r"\p{L}"), (bpe._N, r"\p{N}"), (bpe._S, r"\s")))
+    pick = random.Random(8)
+    for _ in range(500):
+        text = "".join(pick.choice("ab'stl 1²\n\t\x85\xa0\x1c.-éɏ×÷") for _ in range(60))
+        assert full.findall(text) == __import__("re").findall(bpe._LATIN, text)
+
+
+def test_decode_by_expressions(spark, texts):
+    rows = bpe.decode(bpe.encode(documents(spark, texts[:100]))).collect()
+    assert all(bytes(r.decoded).decode() == (texts[r.doc_id] or "") for r in rows)
+
+
 def test_empty_table(spark):
-    assert bpe.digest(bpe.encode(documents(spark, ["a"]).limit(0))).count() == 0
+    assert bpe.digest(bpe.encode(documents(spark, ["a"]).limit(0), decoded=True)).count() == 0
