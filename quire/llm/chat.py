@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _arrow_schema, small_batches
+from quire.llm.common import _arrow_schema, frugal, small_batches
 
 BUDGET = 512
 HISTORY_TURNS = 2
@@ -167,7 +167,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.col("turn").cast("long").alias("turn"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, WINDOWS)
+    return dealt.select("conv_id", "role", "text").mapInArrow(frugal(run), WINDOWS)
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -225,7 +225,7 @@ def digest(rendered: DataFrame) -> DataFrame:
             close(current)
             yield batch_of()
 
-    return rendered.select("conv_id", "window", "formatted", "n_repeated", "turns").mapInArrow(run, DIGEST)
+    return rendered.select("conv_id", "window", "formatted", "n_repeated", "turns").mapInArrow(frugal(run), DIGEST)
 
 
 def with_control_strings(conversations: DataFrame) -> DataFrame:

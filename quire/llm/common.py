@@ -28,7 +28,30 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterable[pa.RecordBatch]:
+def frugal(run: Callable) -> Callable:
+    """run for mapInArrow, giving memory back to the machine now and then and at the end: idle workers of earlier stages stay alive."""
+
+    def wrapped(batches):
+        import ctypes
+        import gc
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            for k, batch in enumerate(run(batches)):
+                yield batch
+                del batch
+                if trim and k % 8 == 7:
+                    trim(0)
+        finally:
+            gc.collect()
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterable[pa.RecordBatch]:
     """The same rows in pieces whose text is about most_bytes, so that one piece's working set stays small."""
     for batch in batches:
         rows = batch.num_rows
@@ -50,7 +73,7 @@ def map_rows(frame: DataFrame, schema: str, make: Callable[[], Callable], text:
             out = handle(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, types)], schema=types)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(frugal(run), schema)
 
 
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

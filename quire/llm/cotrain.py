@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _arrow_schema, small_batches
+from quire.llm.common import _arrow_schema, frugal, small_batches
 
 LABELLED_ROWS = 20_000
 POOL_ROWS = 20_000
@@ -58,7 +58,7 @@ def content(text: str | None, memo: dict) -> np.ndarray:
     n, chars = len(words), len(text)
     kinds = set(words)
     for w in kinds.difference(memo):
-        if len(memo) > 400_000:
+        if len(memo) > 100_000:
             memo.clear()
         memo[w] = _bin(w, WORD_BINS)
     lines = [x for x in text.split("\n") if x.strip()]
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x, z = _views(memo, *(batch.column(i).to_pylist() for i in range(4)))
             yield pa.RecordBatch.from_arrays([batch.column(4).cast(pa.int32()), batch.column(5), pa.array([v.tobytes() for v in x], types[2].type), pa.array([v.tobytes() for v in z], types[3].type)], schema=types)
 
-    got = met.mapInArrow(run, schema).toArrow()
+    got = met.mapInArrow(frugal(run), schema).toArrow()
     if not got.num_rows:
         return Model(constant=(n_good or 0) / n_labels if n_labels else 1.0)
     read = lambda c: np.stack([np.frombuffer(b, np.float32) for b in got[c].to_pylist()])
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             scores = shared.value.scores(_views(memo, *(batch.column(i).to_pylist() for i in range(1, 5))))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(s) for s in scores)], schema=types)
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, schema)
+    return _columns(docs, id_col, text_col).mapInArrow(frugal(run), schema)
 
 
 def digest(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:

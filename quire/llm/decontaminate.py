@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_rows, small_batches
+from quire.llm.common import frugal, map_rows, small_batches
 
 Q = 8
 EDIT_SHARE = 10
@@ -190,5 +190,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Dat
                 found = index.find([folded(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()])
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(frugal(run), docs.schema)
     return docs

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
+from quire.llm.common import checkpointed, frugal
 
 CHUNK = 1 << 20
 
@@ -46,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges vanish in each round, and each task first reduces its own edges to
     spanning stars.
     """
-    left = edges.select("a", "b").mapInArrow(_spanning_stars, "a long, b long").distinct()
+    left = edges.select("a", "b").mapInArrow(frugal(_spanning_stars), "a long, b long").distinct()
     left = checkpointed(left)
     whole = None
     while not left.isEmpty():
@@ -63,5 +63,5 @@ def components(edges: DataFrame) -> DataFrame:
         whole = checkpointed(whole)
         to = lambda c: hooks.select(F.col("node").alias(c), F.col("head").alias(f"h{c}"))
         moved = left.join(to("a"), "a").join(to("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).filter("a != b")
-        left = checkpointed(moved.mapInArrow(_spanning_stars, "a long, b long").distinct())
+        left = checkpointed(moved.mapInArrow(frugal(_spanning_stars), "a long, b long").distinct())
     return whole if whole is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _arrow_schema, checkpointed, small_batches
+from quire.llm.common import _arrow_schema, checkpointed, frugal, small_batches
 
 LEAST_SHARE = 0.3
 
@@ -224,7 +224,7 @@ def tokens(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), types)], schema=types)
 
     url = F.col("url").cast("string")
-    return pages.select(host_of(url).alias("host"), url.alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, TOKENS)
+    return pages.select(host_of(url).alias("host"), url.alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(frugal(run), TOKENS)
 
 
 TEMPLATE = "host long, slots array<long>, constants array<long>"
@@ -251,7 +251,7 @@ def templates(pages: DataFrame) -> DataFrame:
             made = [deduce(r) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([s for s, _ in made], types[1].type), pa.array([c for _, c in made], types[2].type)], schema=types)
 
-    return checkpointed(rows.groupBy("host").agg(F.collect_list("row").alias("rows")).mapInArrow(run, TEMPLATE))
+    return checkpointed(rows.groupBy("host").agg(F.collect_list("row").alias("rows")).mapInArrow(frugal(run), TEMPLATE))
 
 
 def deduce(rows: list[dict]) -> tuple[list[int], list[int]]:
@@ -327,4 +327,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts.append(main_text(Page(source), None if slots is None else frozenset(slots), frozenset(constants or ())))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=types)
 
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(frugal(run), schema)

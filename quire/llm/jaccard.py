@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _arrow_schema, checkpointed, small_batches
+from quire.llm.common import _arrow_schema, checkpointed, frugal, small_batches
 from quire.llm.graph import components
 
 SIZE = 4
@@ -52,8 +52,8 @@ ROUNDS = 1
 PARTNERS = 24
 HOT_RUN = 32
 BLOCK = 512
-_CHUNK = 1 << 22
-_BYTES = 2 << 20
+_CHUNK = 1 << 20
+_BYTES = 1 << 20
 _CUTS = 32
 _CUT = (1 << 64) // 160  # the cuts cover the fifth of the order in which first fragments end
 _BITMAP = 1 << 26
@@ -165,7 +165,7 @@ def frequent(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[np
                 held = 0
         yield counted()
 
-    counts = docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema).groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    counts = docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(frugal(run), schema).groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     counts = checkpointed(counts)
     powers = {r.p: r.k for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("k")).collect()}
     total, least = 0, 64
@@ -222,7 +222,7 @@ def records(docs: DataFrame, order, id_col: str, text_col: str, size: int, perce
             columns = [batch.column(0).cast(pa.int64()), pa.array(sizes.astype(np.int32)), pa.array(np.array(classes, np.uint64).view(np.int64)), lists.cast(types[3].type), cells.cast(types[4].type), pa.array(end)]
             yield pa.RecordBatch.from_arrays(columns, schema=types)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, RECORDS)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias(text_col)).mapInArrow(frugal(run), RECORDS)
 
 
 def _runs(batches, columns: int):
@@ -266,7 +266,7 @@ def first_pairs(postings: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, n, cls, cls[before], cls[head], cls[least])], schema=types)
 
     dealt = postings.repartition("token").sortWithinPartitions("token", "n", "class")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(frugal(run), schema)
 
 
 def cross_pairs(postings: DataFrame, percent: int) -> DataFrame:
@@ -304,7 +304,7 @@ def cross_pairs(postings: DataFrame, percent: int) -> DataFrame:
                 yield flush()
 
     dealt = postings.repartition("token").sortWithinPartitions("token", "n", "class")
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(frugal(run), schema)
 
 
 def hot_pairs(postings: DataFrame, tokens: DataFrame, percent: int, partners: int = 0, salt: int = 0) -> DataFrame:
@@ -400,7 +400,7 @@ def hot_pairs(postings: DataFrame, tokens: DataFrame, percent: int, partners: in
         if held and (out := close()):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*out), types)], schema=types)
 
-    return rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, schema)
+    return rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(frugal(run), schema)
 
 
 def fragments(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -432,7 +432,7 @@ def fragments(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, si
                 parts.append(np.split(s.view(np.int64), np.searchsorted(s, cuts)))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array(parts, types[1].type)], schema=types)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(frugal(run), schema)
 
 
 def able(shared, percent: int, na: str = "na", nb: str = "nb"):
@@ -549,7 +549,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, tag], names=[*batch.schema.names, "__tag"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    tagged = docs.mapInArrow(run, f"{names}, __tag long")
+    tagged = docs.mapInArrow(frugal(run), f"{names}, __tag long")
     loose = F.col("__tag").isNull() | F.col(id_col).isNull()
     kept = tagged.filter(~loose).join(heads.hint("shuffle_hash"), (F.col(id_col) == F.col("__id")) & (F.col("__tag") == F.col("__class")), "left_semi")
     return kept.dropDuplicates([id_col, "__tag"]).unionByName(tagged.filter(loose)).select(*docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _arrow_schema, map_rows, small_batches
+from quire.llm.common import _arrow_schema, frugal, map_rows, small_batches
 
 #: Base phrases and their labels.
 BASE = {
@@ -94,7 +94,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> dict[bytes,
                     counts[w] = counts.get(w, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), type=types[0].type), pa.array(list(counts.values()), type=types[1].type)], schema=types)
 
-    rows = docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(frugal(run), schema).groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {bytes(r.word): r.n for r in rows}
 
 

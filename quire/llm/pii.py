@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_rows, small_batches
+from quire.llm.common import frugal, map_rows, small_batches
 
 #: The kinds of the base expressions, in the order that ties are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -192,7 +192,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 batch = batch.set_column(n, batch.schema.field(n), pa.array(sizes, type=batch.schema.field(n).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _arrow_schema, checkpointed, map_rows, small_batches
+from quire.llm.common import _arrow_schema, checkpointed, frugal, map_rows, small_batches
 
 N = 5
 DISCOUNT = 3.0
@@ -52,7 +52,7 @@ N_GRAM_SLOTS = 1 << 21
 CONTEXT_SLOTS = 1 << 19
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
-MEMO = 400_000
+MEMO = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PAD, _END = "\x02", "\x03"
@@ -113,12 +113,12 @@ def count_n_grams(rows: DataFrame) -> DataFrame:
         for batch in small_batches(batches, "text"):
             for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 counts[2 * bool(toxic) + half].update(words_of(text))
-            if sum(map(len, counts)) > MEMO:
+            if sum(map(len, counts)) > 2 * MEMO:
                 yield table(counts)
                 counts = [Counter() for _ in range(4)]
         yield table(counts)
 
-    parts = rows.select("text", "toxic", "half").mapInArrow(run, schema)
+    parts = rows.select("text", "toxic", "half").mapInArrow(frugal(run), schema)
     return parts.groupBy("gram").agg(*(F.sum(f"c_{x}").alias(f"c_{x}") for x in ("00", "01", "10", "11")))
 
 
@@ -177,7 +177,7 @@ def slot_table(rows: DataFrame, size: int, n: int) -> np.ndarray:
             ratio, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ratio * weight), pa.array(weight)], schema=types)
 
-    got = rows.mapInArrow(run, schema).groupBy("slot").agg((F.sum("total") / F.sum("weight")).cast("float").alias("ratio")).toArrow()
+    got = rows.mapInArrow(frugal(run), schema).groupBy("slot").agg((F.sum("total") / F.sum("weight")).cast("float").alias("ratio")).toArrow()
     table = np.full(size, np.nan, np.float32)
     table[got["slot"].to_numpy()] = got["ratio"].to_numpy()
     return table
@@ -317,7 +317,7 @@ def filter_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshol
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([s < threshold for s in score_of(texts)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def digest(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:
