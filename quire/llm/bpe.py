@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import _arrow_schema, small_batches
+from quire.llm.common import _arrow_schema, frugal, small_batches
 
 BUCKETS = 1 << 17
 LONG_WORD = 256
@@ -78,10 +78,31 @@ def pair_characters(ranks: dict[bytes, int]) -> dict[str, str]:
     return pairs
 
 
-def handed_on(word: bytes, by_byte: list[str], byte_pairs: dict[str, str]) -> str:
-    """The byte characters of a word and the characters that its neighbouring bytes merge to: what fold takes."""
-    t = "".join(map(by_byte.__getitem__, word))
-    return t + "".join([byte_pairs.get(t[i : i + 2], _NONE) for i in range(len(t) - 1)])
+class Handing:
+    """Words as fold takes them: the characters of their bytes, then those that neighbouring bytes merge to."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.letters = np.array([ord(c) for c in letters(ranks)], np.uint16)
+        self.pairs = np.full(1 << 16, ord(_NONE), np.uint16)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = ord(character(rank))
+
+    def __call__(self, words: list[bytes]) -> list[str]:
+        """For words of at least one byte each."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(2 * n - 1)
+        own = np.repeat(ends - (2 * n - 1) - (np.cumsum(n) - n), n) + np.arange(len(raw))
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint16)
+        out[own] = self.letters[raw]
+        inner = np.ones(len(raw), bool)
+        inner[np.cumsum(n) - 1] = False  # a word's last byte begins no pair
+        first = np.flatnonzero(inner)
+        out[own[first] + np.repeat(n, n)[first]] = self.pairs[raw[first].astype(np.int64) << 8 | raw[first + 1]]
+        text = out.astype("<u2").tobytes().decode("utf-16-le")
+        bounds = [0, *ends.tolist()]
+        return [text[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def letters(ranks: dict[bytes, int]) -> list[str]:
@@ -90,15 +111,18 @@ def letters(ranks: dict[bytes, int]) -> list[str]:
 
 
 def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: array<map<pair, merged>>, by hash of the pair's two characters (Spark's xxhash64, seed 42)."""
+    """The rank map as a literal: array<string> of buckets by hash of the pair's two characters (Spark's xxhash64, seed 42).
+
+    A bucket begins with _NONE and lists each of its pairs, what the pair
+    merges to, and _NONE.
+    """
     import xxhash
 
-    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    buckets = [_NONE] * BUCKETS
     for pair, to in pair_characters(ranks).items():
-        buckets[xxhash.xxh64_intdigest(pair.encode(), 42) & (BUCKETS - 1)][pair] = to
-    types = _arrow_schema(spark, "ranks array<map<string,string>>")
-    table = pa.Table.from_arrays([pa.array([[list(b.items()) for b in buckets]], types[0].type)], schema=types)
-    return spark.createDataFrame(table).scalar()
+        buckets[xxhash.xxh64_intdigest(pair.encode(), 42) & (BUCKETS - 1)] += f"{pair}{to}{_NONE}"
+    types = _arrow_schema(spark, "ranks array<string>")
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([buckets], types[0].type)], schema=types)).scalar()
 
 
 def piece_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
@@ -123,7 +147,9 @@ def fold(word: Column, table: Column) -> Column:
     """
 
     def merged(pair):
-        return F.coalesce(F.get(table, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[pair], F.lit(_NONE))
+        bucket = F.get(table, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        behind = F.call_function("substring_index", bucket, F.concat(F.lit(_NONE), pair), F.lit(-1))
+        return F.substring(behind, 1, 1)  # of a bucket without the pair, this is _NONE
 
     def state(tokens, pairs):
         return _bind(pairs, lambda r: F.struct(tokens.alias("tokens"), r.alias("pairs"), F.array_min(F.split(r, "")).alias("least")))
@@ -227,20 +253,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         any_script = regex.compile(public_tokenizers.PATTERN).findall
         latin, beyond = re.compile(_LATIN).findall, re.compile("[^\x00-\u024f]").search
         own = read_ranks(path)
-        by_byte = letters(own)
-        bytes_only = {character(own[bytes([a])]) + character(own[bytes([b])]): character(r) for a in range(256) for b in range(256) if (r := own.get(bytes([a, b]))) is not None}
+        handing = Handing(own)
 
         def cut(text):
             return any_script(text) if beyond(text) else latin(text)
 
-        def shown(word: str) -> str:
-            """A word that is a token itself is its one character."""
-            raw = word.encode("utf-8")
-            rank = own.get(raw)
-            return character(rank) if rank is not None else handed_on(raw, by_byte, bytes_only)
+        def shown(words: list[bytes]) -> list[str]:
+            """Words as they are handed on; one that is a token itself is its one character."""
+            found = list(map(own.get, words))
+            folded = iter(handing([w for w, r in zip(words, found) if r is None]))
+            return [character(r) if r is not None else next(folded) for r in found]
 
         known = Numbers()
-        for batch in small_batches(batches, text_col):
+        for batch in small_batches(batches, text_col, 4 << 20):
             fresh = len(known) > MEMO
             if fresh:
                 known.clear()
@@ -249,7 +274,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 words = cut(text) if text else []
                 counts.append(len(words))
                 numbers.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)).tobytes())
-            new = [shown(w) for w in islice(known, first, None)]
+            new = shown([w.encode("utf-8") for w in islice(known, first, None)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([batch.column(0).to_pylist()], types[0].type), pa.array([counts], types[1].type), pa.array([b"".join(numbers)], types[2].type), pa.array([new], types[3].type), pa.array([fresh])],
                 schema=types,
@@ -257,7 +282,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     table = rank_table(spark, ranks)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias(text_col))
-    numbered = rows.mapInArrow(number, _NUMBERED)
+    numbered = rows.mapInArrow(frugal(number), _NUMBERED)
     short = F.transform("words", lambda w: F.when(F.length(w) < 2 * LONG_WORD, fold(w, F.col("ranks"))))
     long_words = F.filter("words", lambda w: F.length(w) >= 2 * LONG_WORD)
     folded = numbered.withColumn("ranks", table).select("ids", "counts", "numbers", short.alias("tokens"), long_words.alias("long_words"), "fresh")
@@ -302,7 +327,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     columns.append(pieces.joined(ids, offsets).cast(out_types[2].type))
                 yield pa.RecordBatch.from_arrays(columns, schema=out_types)
 
-    return folded.mapInArrow(resolve, out_schema)
+    return folded.mapInArrow(frugal(resolve), out_schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -44,8 +44,7 @@ def test_heap_merges_like_the_library(word):
 def test_fold_merges_like_the_library(spark):
     pick = random.Random(2)
     words = [bytes(pick.choice(b" theandingtion\xc3\xa9") for _ in range(pick.randrange(1, 40))) for _ in range(400)]
-    by_byte, pairs = bpe.letters(RANKS), bpe.pair_characters(RANKS)
-    frame = spark.createDataFrame([(w, bpe.handed_on(w, by_byte, pairs)) for w in words], "w binary, t string")
+    frame = spark.createDataFrame(list(zip(words, bpe.Handing(RANKS)(words))), "w binary, t string")
     got = frame.withColumn("ranks", bpe.rank_table(spark, RANKS)).select("w", bpe.fold(F.col("t"), F.col("ranks")).alias("t")).collect()
     assert all([ord(c) - ord(bpe.character(0)) for c in r.t] == ENCODING._core_bpe.encode_single_piece(bytes(r.w)) for r in got)
 
