@@ -39,6 +39,7 @@ CONFIDENT = 0.02
 WORD_BINS = 192
 SOURCE_BINS = 64
 LANG_BINS = 16
+MEMO = 100_000
 THRESHOLD = 0.5
 
 _SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -57,9 +58,9 @@ def content(text: str | None, memo: dict) -> np.ndarray:
         return out
     n, chars = len(words), len(text)
     kinds = set(words)
+    if len(memo) > MEMO:  # only before a document, whose words are then all there
+        memo.clear()
     for w in kinds.difference(memo):
-        if len(memo) > 100_000:
-            memo.clear()
         memo[w] = _bin(w, WORD_BINS)
     lines = [x for x in text.split("\n") if x.strip()]
     raw = text.encode("utf-8", "replace")
@@ -75,11 +76,11 @@ def content(text: str | None, memo: dict) -> np.ndarray:
         len(kinds) / n,
         1 - len(set(lines)) / max(1, len(lines)),
         np.log1p(n / max(1, len(lines))),
-        sum(map(str.isdigit, text)) / chars if chars < 1 << 16 else len(raw.translate(None, bytes(range(48)) + bytes(range(58, 256)))) / chars,
+        sum(text.count(c) for c in set(text) if c.isdigit()) / chars,
         float(words[0][:1].isupper()),
         float(text.rstrip().endswith((".", "!", "?"))),
     )
-    bins = np.bincount(np.fromiter((memo.get(w, 0) for w in words), np.int64, n), minlength=WORD_BINS)
+    bins = np.bincount(np.fromiter(map(memo.__getitem__, words), np.int64, n), minlength=WORD_BINS)
     out[12:] = np.sqrt(bins / n)
     return out
 

@@ -52,3 +52,14 @@ def test_odd_rows(spark):
     assert cotrain.train(docs, labels.limit(0)).constant == 1.0 and cotrain.train(docs.limit(0), labels).constant is not None
     assert cotrain.train(docs, labels.filter("quality = 1")).constant == 1.0
     assert cotrain.score(docs.limit(0), model).count() == 0
+
+
+def test_full_memo_loses_no_words():
+    memo = {f"w{i}": cotrain._bin(f"w{i}", cotrain.WORD_BINS) for i in range(cotrain.MEMO)}
+    for text in ("w1 " * 500 + "new words that fill it", " ".join(f"k{i}" for i in range(cotrain.MEMO + 500))):
+        assert np.array_equal(cotrain.content(text, memo), cotrain.content(text, {}))
+
+
+def test_digits_by_one_rule_at_every_length():
+    short, long = "\u0663\u0664 12 ab " * 4, "\u0663\u0664 12 ab " * 10_000
+    assert cotrain.content(short, {})[9] == cotrain.content(long, {})[9] == np.float32(4 / 9)
