@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,42 @@ def excluded(tag: str, attributes: str) -> tuple[bool, str]:
     return out, shown
 
 
+class Open:
+    """The open elements, at any depth: each tag's places are kept, so that closing takes constant time an element."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.path = 0  # the innermost element's
+
+    def push(self, tag: str, path: int):
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, path))
+        self.path = path
+
+    def _cut(self, size: int):
+        while len(self.stack) > size:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+        self.path = self.stack[-1][1] if self.stack else 0
+
+    def end(self, tag: str):
+        """The innermost element of the tag ends, with all inside it."""
+        if places := self.places.get(tag):
+            self._cut(places[-1])
+
+    def close(self, tags: frozenset):
+        """The innermost element of these tags ends, unless a scope stands in it."""
+        at = max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+        if at >= 0 and at >= (self.scopes[-1] if self.scopes else -1):
+            self._cut(at)
+
+
 class Page:
     """The tokens of a page: elements [path], and text runs (text, innermost path's number, excluded, in main)."""
 
@@ -137,11 +174,11 @@ class Page:
             self.chars[path] += len(text)
 
     def _read(self, source: str):
-        stack: list[tuple[str, int]] = [("", 0)]
+        stack = Open()
         at, scan = 0, 0
         while (m := _TAG.search(source, scan)) is not None:
             if m.start() > at:
-                self._text(source[at : m.start()], stack[-1][1])
+                self._text(source[at : m.start()], stack.path)
             at = scan = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
@@ -149,37 +186,24 @@ class Page:
             if tag not in INLINE:
                 self.runs.append(("\n", -1))
             if m[1] or m[4]:
-                for k in range(len(stack) - 1, max(0, len(stack) - 257), -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                stack.end(tag)
                 continue
-            if tag in ENDS_P and any(t == "p" for t, _ in stack[-16:]):
-                self._close(stack, CLOSES["p"])
+            if tag in ENDS_P:
+                stack.close(CLOSES["p"])
             elif tag in CLOSES:
-                self._close(stack, CLOSES[tag])
+                stack.close(CLOSES[tag])
             out, name = excluded(tag, m[3] or m[6] or "")
-            path = self._path(stack[-1][1], name, tag, out) if len(stack) < 256 else stack[-1][1]
+            path = self._path(stack.path, name, tag, out)
             if tag in VOID or (m[3] or m[6] or "").endswith("/") and tag in ("svg", "path", "math"):
                 continue
             if tag in RAW:
                 end = _RAW_END[tag].search(source, at)
                 at = scan = end.start() if end else len(source)
-                stack.append((tag, path))
+                stack.push(tag, path)
                 continue
-            if len(stack) < 4096:
-                stack.append((tag, path))
+            stack.push(tag, path)
         if at < len(source):
-            self._text(source[at:], stack[-1][1])
-
-    @staticmethod
-    def _close(stack, tags):
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in SCOPES:
-                return
+            self._text(source[at:], stack.path)
 
     def names(self) -> list[int]:
         """A hash for each path, equal on all pages."""
@@ -273,24 +297,34 @@ def deduce(rows: list[dict]) -> tuple[list[int], list[int]]:
         if r["kind"] == 0:
             fixed[r["parent"]] = fixed.get(r["parent"], 0) + r["chars"]
     held = {t: 0 for t in plain}
-    for t in plain:
-        own, up, depth = max(0, elements[t]["chars"] - fixed.get(t, 0)), t, 0
-        while up in held and depth < 256:
-            held[up] += own
-            up, depth = elements[up]["parent"], depth + 1
+    inside = Counter(elements[t]["parent"] for t in plain)
+    ready = [t for t in plain if not inside[t]]
+    while ready:  # from the innermost outwards
+        t = ready.pop()
+        up = elements[t]["parent"]
+        held[t] += max(0, elements[t]["chars"] - fixed.get(t, 0))
+        if up in held:
+            held[up] += held[t]
+            inside[up] -= 1
+            if not inside[up]:
+                ready.append(up)
     roots = [t for t in plain if elements[t]["parent"] not in plain]
     if not roots or not (total := sum(held[t] for t in roots)):
         return sorted(plain), constants
+    below: dict[int, list[int]] = {}
+    for t in plain:
+        below.setdefault(elements[t]["parent"], []).append(t)
     at = max(sorted(roots), key=held.get)
     while True:
-        inner = [t for t in sorted(plain) if elements[t]["parent"] == at and held[t] > 0.8 * total and elements[t]["n"] == elements[t]["pages"]]
+        inner = [t for t in sorted(below.get(at, ())) if held[t] > 0.8 * total and elements[t]["n"] == elements[t]["pages"]]
         if not inner:
             break
         at = max(inner, key=held.get)
-    slots, more = {at}, True
+    slots, more = set(), [at]
     while more:
-        more = {t for t in plain - slots if elements[t]["parent"] in slots}
-        slots |= more
+        t = more.pop()
+        slots.add(t)
+        more += below.get(t, ())
     return sorted(slots), constants
 
 

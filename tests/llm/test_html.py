@@ -67,3 +67,18 @@ def test_odd_rows(spark):
     got = {r.page_id: r.text for r in found.collect()}
     assert got[0] == got[1] == got[6] == got[7] == "" and got[2] == "plain text only" and got[12] == "a b c" and got[5] == "deep"
     assert found.count() == len(rows) and html.extract(frame.limit(0)).count() == 0
+
+
+def test_any_depth_closes():
+    for n in (260, 5000):
+        page = html.Page(f"<article>start{'<font>' * n}deep<nav>menu</nav></article><footer>foot</footer><script>s()</script><div class=comments>said</div>")
+        assert html.main_text(page, None, frozenset()) == "startdeep"
+        under = html.Page(f"<article>{'<div>' * n}in<aside>beside</aside>{'</div>' * n}after</article>out")
+        assert html.main_text(under, None, frozenset()) == "in after"
+    assert html.Page("<p>a" + "<b>" * 20 + "<div>c").parents == html.Page("<p>a" + "<b>" * 20 + "</p><div>c").parents
+
+
+def test_deep_template_in_linear_time():
+    n = 20_000
+    rows = [{"token": k, "parent": k - 1, "kind": 1, "vector": "v", "pages": 2, "of": 2, "n": 2, "chars": 100 * (k == n)} for k in range(1, n + 1)]
+    assert html.deduce(rows) == ([n], [])
