@@ -10,10 +10,9 @@ A word's log-likelihood ratio is the sum over its characters.  For an n-gram
 seen in neither class the shared backoff cancels out and only the contexts'
 backoff weights remain, so a scorer needs two tables: ratio by n-gram and
 ratio by context.  Counting, backoff and ratios are made by DataFrame
-aggregations over all labelled training documents.  The ratios are then folded
-into tables of a fixed number of slots (count-weighted means where n-grams
-meet in a slot), so what is broadcast is bounded at any corpus size: 4 bytes a
-slot, N_GRAM_SLOTS + CONTEXT_SLOTS of them.
+aggregations over all labelled training documents.  The ratios are kept by
+exact n-gram: 28 bytes for each distinct one, so the tables grow with the
+distinct n-grams of the labelled training documents and nothing is merged.
 
 A document's features are length-normalised: the ratios in excess of EXCESS
 nats a word, over the number of words and its root, and the highest ones.  A
@@ -48,8 +47,6 @@ N = 5
 DISCOUNT = 3.0
 SHARED_DISCOUNT = 0.75
 EXCESS = 3.0
-N_GRAM_SLOTS = 1 << 21
-CONTEXT_SLOTS = 1 << 19
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 MEMO = 100_000
@@ -72,14 +69,42 @@ def n_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, ends, sizes
 
 
-def slots(points: np.ndarray, ends: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Slot of the n characters that end at each position."""
-    h = np.zeros(len(ends), np.uint64)
-    for k in range(n):
-        h = (h + points[ends - (n - 1 - k)]) * np.uint64(_MIX[0])
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(_MIX[1])
-    return (h >> np.uint64(40)) & np.uint64(size - 1) if size <= 1 << 24 else h & np.uint64(size - 1)
+class Ratios:
+    """Ratios by n-gram: sorted hashes, each with the code points it stands for, which every lookup compares."""
+
+    def __init__(self, grams: pa.ChunkedArray, ratio: np.ndarray, n: int):
+        self.n, self.seed = n, 0
+        chunks = [np.frombuffer("".join(c.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32) for c in grams.chunks]
+        points = np.concatenate([np.zeros(0, np.uint32), *chunks])
+        high, low = self._packed(points, np.arange(n - 1, len(points), n))
+        while True:  # a seed that tells all n-grams apart
+            hashes = self._hashes(high, low)
+            order = np.argsort(hashes)
+            hashes = hashes[order]
+            if not (hashes[1:] == hashes[:-1]).any():
+                break
+            self.seed += 1
+        self.hashes, self.high, self.low, self.ratio = hashes, high[order], low[order], np.asarray(ratio, np.float32)[order]
+
+    def _packed(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The n characters that end at each position, 21 bits each: three in one number, the rest in another."""
+        packed = [np.zeros(len(ends), np.uint64), np.zeros(len(ends), np.uint64)]
+        for k in range(self.n):
+            packed[k > 2] = packed[k > 2] << np.uint64(21) | points[ends - (self.n - 1 - k)].astype(np.uint64)
+        return packed[0], packed[1]
+
+    def _hashes(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        h = (high + np.uint64(self.seed)) * np.uint64(_MIX[0])
+        h = ((h ^ h >> np.uint64(29)) + low) * np.uint64(_MIX[1])
+        return h ^ h >> np.uint64(32)
+
+    def of(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The ratio of the n characters that end at each position, NaN for those never seen."""
+        if not len(self.hashes):
+            return np.full(len(ends), np.nan, np.float32)
+        high, low = self._packed(points, ends)
+        at = np.minimum(np.searchsorted(self.hashes, self._hashes(high, low)), len(self.hashes) - 1)
+        return np.where((self.high[at] == high) & (self.low[at] == low), self.ratio[at], np.float32(np.nan))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,7 +171,7 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
 
 
 def ratios(grams: DataFrame, low: DataFrame, toxic, ordinary) -> tuple[DataFrame, DataFrame]:
-    """(gram, ratio, weight) and (ctx, ratio, weight) of one pair of count columns."""
+    """(gram, ratio) of n-grams and of contexts, by one pair of count columns."""
     own = grams.select("gram", F.substring("gram", 1, N - 1).alias("ctx"), F.substring("gram", 2, N - 1).alias("low"), toxic.alias("c1"), ordinary.alias("c0")).filter("c1 + c0 > 0")
     sums = own.groupBy("ctx").agg(*(f for x in ("c0", "c1") for f in (F.sum(x).alias(f"den_{x}"), F.sum(F.least(F.col(x), F.lit(DISCOUNT))).alias(f"mass_{x}"))))
 
@@ -157,36 +182,21 @@ def ratios(grams: DataFrame, low: DataFrame, toxic, ordinary) -> tuple[DataFrame
         seen = F.when(F.col(f"den_{x}") > 0, F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)) / F.col(f"den_{x}")).otherwise(F.lit(0.0))
         return seen + weight(x) * F.col("p_low")
 
-    by_gram = own.join(sums, "ctx").join(low, "low").select("gram", F.ln(p("c1") / p("c0")).alias("ratio"), (F.col("c1") + F.col("c0")).cast("double").alias("weight"))
-    by_context = sums.select(F.col("ctx").alias("gram"), F.ln(weight("c1") / weight("c0")).alias("ratio"), (F.col("den_c0") + F.col("den_c1")).cast("double").alias("weight"))
+    by_gram = own.join(sums, "ctx").join(low, "low").select("gram", F.ln(p("c1") / p("c0")).alias("ratio"))
+    by_context = sums.select(F.col("ctx").alias("gram"), F.ln(weight("c1") / weight("c0")).alias("ratio"))
     return by_gram, by_context
 
 
-def slot_table(rows: DataFrame, size: int, n: int) -> np.ndarray:
-    """float32 ratios by slot, NaN where no n-gram falls; at most `size` rows reach the driver."""
-    schema = "slot int, total double, weight double"
-    types = _arrow_schema(rows.sparkSession, schema)
+def ratio_table(rows: DataFrame, n: int) -> Ratios:
+    """The ratios by exact n-gram; as many rows reach the driver as there are distinct ones."""
+    got = rows.select("gram", F.col("ratio").cast("float").alias("ratio")).toArrow()
+    return Ratios(got["gram"], got["ratio"].to_numpy(), n)
 
-    def run(batches):
-        for batch in batches:
-            grams = batch.column(0).to_pylist()
-            if not grams:
-                continue
-            points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
-            at = slots(points, np.arange(n - 1, len(points), n), size, n).astype(np.int32)
-            ratio, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ratio * weight), pa.array(weight)], schema=types)
-
-    got = rows.mapInArrow(frugal(run), schema).groupBy("slot").agg((F.sum("total") / F.sum("weight")).cast("float").alias("ratio")).toArrow()
-    table = np.full(size, np.nan, np.float32)
-    table[got["slot"].to_numpy()] = got["ratio"].to_numpy()
-    return table
-
-
-def word_ratios(words: list[str], by_gram: np.ndarray, by_context: np.ndarray) -> np.ndarray:
+
+def word_ratios(words: list[str], by_gram: Ratios, by_context: Ratios) -> np.ndarray:
     points, ends, sizes = n_grams(words)
-    seen = by_gram[slots(points, ends, len(by_gram), N)]
-    context = by_context[slots(points, ends - 1, len(by_context), N - 1)]
+    seen = by_gram.of(points, ends)
+    context = by_context.of(points, ends - 1)
     each = np.where(np.isnan(seen), np.nan_to_num(context), seen)
     return np.add.reduceat(each, np.cumsum(sizes) - sizes, dtype=np.float64)
 
@@ -250,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def tables(*halves):
         pick = lambda x: sum((F.col(f"c_{x}{h}") for h in halves), F.lit(0))
         by_gram, by_context = ratios(grams, low, pick(1), pick(0))
-        return slot_table(by_gram, N_GRAM_SLOTS, N), slot_table(by_context, CONTEXT_SLOTS, N - 1)
+        return ratio_table(by_gram, N), ratio_table(by_context, N - 1)
 
     of_half = [spark.sparkContext.broadcast(tables(1 - h)) for h in (0, 1)]  # each half is scored by the other's counts
     rate = min(1.0, CALIBRATION_ROWS / max(1, sum(kinds.values())))

@@ -77,3 +77,23 @@ def test_odd_rows(spark):
     assert kept.columns == odd.columns and kept.count() == len(ODD_TEXTS)
     assert toxicity.train(docs, labels.limit(0)).constant == 0 and toxicity.train(docs.limit(0), labels).constant is not None
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_no_two_n_grams_share_a_ratio(spark):
+    pick = random.Random(3)
+    letters = [chr(c) for c in [*range(97, 123), *range(0x430, 0x450)]]
+    word = lambda: "".join(pick.choices(letters, k=8))
+    docs = documents(spark, [" ".join(word() for _ in range(400)) for _ in range(120)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    grams = toxicity.checkpointed(toxicity.count_n_grams(toxicity.training_rows(docs, labels, "doc_id", "text")))
+    both = toxicity.ratios(grams, toxicity.shared_backoff(grams), F.col("c_10") + F.col("c_11"), F.col("c_00") + F.col("c_01"))
+    by_gram, by_context = ({r.gram: r.ratio for r in t.collect()} for t in both)
+    assert len(by_gram) > 200_000
+    known = sorted({w for r in docs.limit(40).collect() for w in r.text.split()})
+    words = known + [word() for _ in range(5000)]
+    want = []
+    for w in words:
+        t = "\x02" * 4 + w + "\x03"
+        want.append(sum(by_gram.get(t[i : i + 5], by_context.get(t[i : i + 4], 0.0)) for i in range(len(t) - 4)))
+    assert np.allclose(toxicity.word_ratios(words, *model.tables), want, atol=1e-4)
