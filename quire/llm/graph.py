@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import checkpointed, frugal
 
 CHUNK = 1 << 20
+FINISH = 1 << 19
+_EDGE = "a long, b long"
 
 
 def _spanning_stars(batches):
@@ -37,31 +39,35 @@ def _spanning_stars(batches):
     yield stars()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, for every node of edges (a long, b long).
+def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
+    """(node, component): the least node reachable, for every node of edges (a long, b long) but the least ones themselves.
 
-    Each round a node hooks on its least neighbour if that is less than itself;
-    pointers are followed twice, and edges are carried over to the trees' heads.
-    Heads are the least nodes of their trees, at least half the nodes with
-    edges vanish in each round, and each task first reduces its own edges to
-    spanning stars.
+    Each task first reduces its own edges to spanning stars.  While more than
+    `finish` edges are left, each round hooks a node on its least neighbour if
+    that is less than itself; pointers are followed twice, and edges are
+    carried over to the trees' heads.  Heads are the least nodes of their
+    trees, and at least half the nodes with edges vanish in each round.  The
+    last `finish` edges or fewer are one task's stars.
     """
-    left = edges.select("a", "b").mapInArrow(frugal(_spanning_stars), "a long, b long").distinct()
-    left = checkpointed(left)
+    left = checkpointed(edges.select("a", "b").mapInArrow(frugal(_spanning_stars), _EDGE).distinct())
     whole = None
-    while not left.isEmpty():
+    while left.count() > finish:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("head")))
         for _ in range(2):
             nexts = hooks.select(F.col("node").alias("__n"), F.col("head").alias("__h"))
             hooks = hooks.join(nexts, hooks["head"] == nexts["__n"]).select("node", F.col("__h").alias("head"))
         hooks = checkpointed(hooks)
-        if whole is None:
-            whole = hooks.select("node", F.col("head").alias("component"))
-        else:
-            whole = whole.join(hooks.withColumnsRenamed({"node": "component", "head": "__h"}), "component", "left").select("node", F.coalesce("__h", "component").alias("component"))
+        whole = hooks.select("node", F.col("head").alias("component")) if whole is None else _followed(whole, hooks.withColumnRenamed("head", "component"))
         whole = checkpointed(whole)
         to = lambda c: hooks.select(F.col("node").alias(c), F.col("head").alias(f"h{c}"))
         moved = left.join(to("a"), "a").join(to("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b")).filter("a != b")
-        left = checkpointed(moved.mapInArrow(frugal(_spanning_stars), "a long, b long").distinct())
-    return whole if whole is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        left = checkpointed(moved.mapInArrow(frugal(_spanning_stars), _EDGE).distinct())
+    last = left.repartition(1).mapInArrow(frugal(_spanning_stars), _EDGE).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return checkpointed(last if whole is None else _followed(whole, last).filter("node != component"))
+
+
+def _followed(whole: DataFrame, more: DataFrame) -> DataFrame:
+    """whole, with each component replaced by the one that the second frame has for it."""
+    nexts = more.select(F.col("component").alias("__h"), F.col("node").alias("component"))
+    return whole.join(nexts, "component", "left").select("node", F.coalesce("__h", "component").alias("component"))

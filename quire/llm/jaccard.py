@@ -28,7 +28,8 @@ exact, while a group of m near copies costs about m pairs, not m squared.
 Cases: a null or empty text has an empty set and links with nothing.  A null
 id gives a null component.  Rows with a repeated id are separate documents
 that share their id.  Empty tables give empty results.  Other columns are
-ignored.  Texts are read whole.  Sets and shingles are told apart by 64 bits.
+ignored.  Texts are read whole.  Words, shingles and sets are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.llm.common import _arrow_schema, checkpointed, frugal, small_batches
 from quire.llm.graph import components
@@ -66,21 +68,25 @@ class Shingler:
 
     def __init__(self, size: int = SIZE):
         self.size = size
-        random = np.random.default_rng(4)
-        self.codes = random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        self.random = np.random.default_rng(4)
+        self.codes = self.random.integers(0, 1 << 64, 256, dtype=np.uint64)
         for upper in range(65, 91):
             self.codes[upper] = self.codes[upper + 32]
         self.gap = np.zeros(256, bool)
         self.gap[[32, *range(9, 14)]] = True
         self.codes[self.gap] = 0
-        self.powers = self.inverses = np.ones(0, np.uint64)
+        self.places = np.zeros(0, np.uint64)
 
     def _grow(self, n: int):
-        if len(self.powers) < n:
-            self.powers, self.inverses = (np.cumprod(np.full(n, np.uint64(x), np.uint64)) for x in (_M, pow(_M, -1, 1 << 64)))
+        if len(self.places) < n:  # drawn one after another: the same at every length
+            self.places = np.concatenate([self.places, self.random.integers(0, 1 << 64, max(64, n - len(self.places)), dtype=np.uint64) | np.uint64(1)])
 
     def words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit hashes of all words, polynomial in their bytes, and the first word of each text."""
+        """64-bit hashes of all words, and the first word of each text.
+
+        The hash is multilinear: each place in a word has a random factor of
+        its own, so no structure of words makes them meet.
+        """
         gap = self.gap[data]
         before = np.concatenate([[True], gap[:-1]]) if len(data) else gap
         before[bounds[:-1][bounds[:-1] < len(data)]] = True
@@ -88,8 +94,10 @@ class Shingler:
         firsts = np.searchsorted(starts, bounds)
         if not len(starts):
             return np.zeros(0, np.uint64), firsts
-        self._grow(len(data))
-        h = np.add.reduceat(self.codes[data] * self.powers[: len(data)], starts) * self.inverses[starts]
+        sizes = np.diff(np.append(starts, len(data)))  # with the gap behind each word, whose codes are 0
+        self._grow(int(sizes.max()))
+        place = np.arange(starts[0], len(data)) - np.repeat(starts, sizes)
+        h = np.add.reduceat(self.codes[data[starts[0] :]] * self.places[place], starts - starts[0])
         h = (h ^ (h >> np.uint64(32))) * np.uint64(_M)
         return h ^ (h >> np.uint64(29)), firsts
 
@@ -227,45 +235,61 @@ def records(docs: DataFrame, order, id_col: str, text_col: str, size: int, perce
 
 def _runs(batches, columns: int):
     """Arrays of the columns, cut so that no run of equal first values is split."""
-    held = None
+    held: list[list[np.ndarray]] = []  # pieces of one run, joined once
     for batch in batches:
         now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1]))
+        if held and now[0][0] != held[0][0][0]:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
         if cut:
-            yield [x[:cut] for x in now]
-        held = [x[cut:] for x in now]
-    if held is not None and len(held[0]):
-        yield held
+            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in now])]
+            held = []
+        held.append([x[cut:] for x in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def first_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Postings (token, n, class) of tokens that several classes share, each with up to three partners of its run."""
+    """Postings (token, n, class) of tokens that several classes share, each with up to three partners of its run.
+
+    Postings are dealt out by ranges of (token, n, class), so a long run is cut
+    into stretches; partners stand in the same stretch.  A stretch of one
+    posting at a task's end may go on in the next task, so it is kept.
+    """
     schema = "token long, n int, class long, by_size long, by_head long, by_least long"
     types = _arrow_schema(postings.sparkSession, schema)
 
+    def partners(token, n, cls, is_first, is_last):
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        index = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        several = np.diff(np.append(starts, len(token)))[index] > 1
+        several[0] |= is_first
+        several[-1] |= is_last
+        span = int(n.max()) + 2
+        key = index * span + n
+        head = np.searchsorted(key, index * span + -(-percent * n // 100))  # the stretch's first that is large enough
+        before = np.maximum(np.arange(len(token)) - 1, starts[index])
+        order = np.lexsort((cls, index))
+        least = order[starts][index]
+        fits = percent * np.maximum(n, n[least]) <= 100 * np.minimum(n, n[least])
+        least = np.where(fits, least, np.arange(len(token)))
+        return pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, n, cls, cls[before], cls[head], cls[least])], schema=types)
+
     def run(batches):
-        for run_of in _runs(batches, 3):
-            once = np.concatenate([[True], (run_of[0][1:] != run_of[0][:-1]) | (run_of[2][1:] != run_of[2][:-1])])  # copies stand next to one another
-            token, n, cls = (x[once] for x in run_of)
-            new = np.concatenate([[True], token[1:] != token[:-1]])
-            index = np.cumsum(new) - 1
-            starts = np.flatnonzero(new)
-            several = np.diff(np.append(starts, len(token)))[index] > 1
-            span = int(n.max()) + 2
-            key = index * span + n
-            head = np.searchsorted(key, index * span + -(-percent * n // 100))  # the run's first that is large enough
-            before = np.maximum(np.arange(len(token)) - 1, starts[index])
-            order = np.lexsort((cls, index))
-            least = order[starts][index]
-            fits = percent * np.maximum(n, n[least]) <= 100 * np.minimum(n, n[least])
-            least = np.where(fits, least, np.arange(len(token)))
-            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, n, cls, cls[before], cls[head], cls[least])], schema=types)
+        held, is_first = None, True
+        for stretch in _runs(batches, 3):
+            if held is not None:
+                yield partners(*held, is_first, False)
+                is_first = False
+            held = stretch
+        if held is not None:
+            yield partners(*held, is_first, True)
 
-    dealt = postings.repartition("token").sortWithinPartitions("token", "n", "class")
+    dealt = postings.repartitionByRange("token", "n", "class").sortWithinPartitions("token", "n", "class")
     return dealt.mapInArrow(frugal(run), schema)
 
 
@@ -403,15 +427,17 @@ def hot_pairs(postings: DataFrame, tokens: DataFrame, percent: int, partners: in
     return rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(frugal(run), schema)
 
 
-def fragments(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def fragments(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame | None:
     """(class, parts array<array<long>>) of the needed classes' sets, a part for each fragment.
 
     needed: (id, class).  A bitmap of a fixed number of bits over hashed ids
     tells which texts to read again; what it lets through besides is dropped
-    by the joins on class.
+    by the joins on class.  None if no class is needed.
     """
     slot = F.pmod(F.xxhash64(F.col("id")), F.lit(_BITMAP))
     words = needed.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).toArrow()
+    if not words.num_rows:
+        return None
     rows = {k: np.frombuffer(b, np.uint8) for k, b in zip(words["k"].to_pylist(), words["bits"].to_pylist())}
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     schema = "class long, parts array<array<long>>"
@@ -432,7 +458,9 @@ def fragments(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, si
                 parts.append(np.split(s.view(np.int64), np.searchsorted(s, cuts)))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array(parts, types[1].type)], schema=types)
 
-    return texts.mapInArrow(frugal(run), schema)
+    made = checkpointed(texts.mapInArrow(frugal(run), schema))
+    shared.destroy()
+    return made
 
 
 def able(shared, percent: int, na: str = "na", nb: str = "nb"):
@@ -469,7 +497,7 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     overlaps = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
     overlap = F.aggregate(overlaps, F.lit(0), lambda x, y: x + y)
     linked = pairs.join(side("a"), "a").join(side("b"), "b").filter((100 + percent) * overlap >= percent * (F.col("na") + F.col("nb")))
-    return linked.select("a", "b").distinct()  # a text that stands twice under one id has its parts twice
+    return linked.select("a", "b")  # a text that stands twice under one id has its parts, and so its links, twice
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -477,26 +505,29 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent(docs, id_col, text_col, size))
     rows = checkpointed(records(docs, order, id_col, text_col, size, percent))
+    order.destroy()
     with_id = rows.filter("id IS NOT NULL AND n > 0")
-    classes = checkpointed(with_id.groupBy("class").agg(F.min(F.struct("id", "n", "below", "end")).alias("r")).select("class", "r.*"))
-    postings = with_id.select(F.explode("prefix").alias("token"), "n", "class")
-    shared = checkpointed(first_pairs(postings, percent))
+    # Copies are one class from here on, so a group of them makes no run.
+    classes = checkpointed(with_id.groupBy("class").agg(F.min(F.struct("id", "n", "below", "end", "prefix")).alias("r")).select("class", "r.*"))
+    shared = checkpointed(first_pairs(classes.select(F.explode("prefix").alias("token"), "n", "class"), percent))
     tokens = shared.groupBy("class").agg(F.collect_list("token").alias("tokens"))  # at most a prefix each
-    tokens = checkpointed(tokens.join(classes.drop("id"), "class"))
-    have = []
+    tokens = checkpointed(tokens.join(classes.select("class", "n", "below", "end"), "class"))
+    have, compared = [], []
 
     def linked(pairs):
         """The pairs (a, b) that link; texts of classes not met before are read again."""
         pairs = checkpointed(bounded(pairs, tokens, percent))
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        for parts in have:
-            ends = ends.join(parts.select("class").distinct(), "class", "left_anti")
-        needed = checkpointed(classes.select("class", "id").join(ends, "class", "left_semi"))
-        if not needed.isEmpty():
-            have.append(checkpointed(fragments(docs, needed, id_col, text_col, size)))
+        ends_of = lambda p: p.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        ends = ends_of(pairs)
+        if compared:
+            ends = ends.join(ends_of(reduce(DataFrame.unionByName, compared)), "class", "left_anti")
+        compared.append(pairs.select("a", "b"))
+        parts = fragments(docs, classes.select("class", "id").join(ends, "class", "left_semi"), id_col, text_col, size)
+        if parts is not None:
+            have.append(parts)
         if not have:
             return pairs.select("a", "b")
-        return checkpointed(verified(pairs, reduce(DataFrame.unionByName, have), percent))
+        return verified(pairs, reduce(DataFrame.unionByName, have), percent)
 
     partners = shared.select("class", F.explode(F.array("by_size", "by_head", "by_least")).alias("b")).filter("class != b")
     near = components(linked(partners.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()))
@@ -535,21 +566,37 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return found.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
+def _unused(columns: list[str], stem: str) -> str:
+    """A name like stem that no column has."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem = f"_{stem}"
+    return stem
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that of the least id, with all columns; rows without words or id stay."""
+    """One document of each component, that of the least id, with all columns; rows without words or id stay.
+
+    Of several rows with that id and text the least stays, by all columns that
+    can be ordered, in their order, nulls first.
+    """
     found = clusters(docs, id_col, text_col, size, percent)
-    heads = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "class")).alias("h")).select(F.col("h.id").alias("__id"), F.col("h.class").alias("__class"))
+    tag, head_id, head_class = (_unused(docs.columns, x) for x in ("__tag", "__head_id", "__head_class"))
+    heads = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "class")).alias("h")).select(F.col("h.id").alias(head_id), F.col("h.class").alias(head_class))
 
     def run(batches):
         shingles = Shingler(size)
         for batch in small_batches(batches, text_col, _BYTES):
             elements, bounds = shingles(batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()))
             classes = [class_of(elements[a:b]) if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            tag = pa.array([None if c is None else c - (1 << 64) if c >> 63 else c for c in classes], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, tag], names=[*batch.schema.names, "__tag"])
-
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    tagged = docs.mapInArrow(frugal(run), f"{names}, __tag long")
-    loose = F.col("__tag").isNull() | F.col(id_col).isNull()
-    kept = tagged.filter(~loose).join(heads.hint("shuffle_hash"), (F.col(id_col) == F.col("__id")) & (F.col("__tag") == F.col("__class")), "left_semi")
-    return kept.dropDuplicates([id_col, "__tag"]).unionByName(tagged.filter(loose)).select(*docs.columns)
+            tags = pa.array([None if c is None else c - (1 << 64) if c >> 63 else c for c in classes], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, tags], names=[*batch.schema.names, tag])
+
+    quoted = lambda c: f"`{c.replace('`', '``')}`"
+    tagged = docs.mapInArrow(frugal(run), StructType([*docs.schema.fields, StructField(tag, LongType())]))
+    loose = F.col(tag).isNull() | F.col(quoted(id_col)).isNull()
+    kept = tagged.filter(~loose).join(heads.hint("shuffle_hash"), (F.col(quoted(id_col)).cast("long") == F.col(head_id)) & (F.col(tag) == F.col(head_class)), "left_semi")
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    ordered = [F.col(quoted(f.name)) for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    once = kept.groupBy(F.col(quoted(id_col)).alias(head_id), F.col(tag).alias(head_class)).agg(F.min_by(F.struct(*columns), F.struct(*ordered)).alias(tag)).select(f"{tag}.*")
+    return once.unionByName(tagged.filter(loose).select(*columns))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -108,6 +109,39 @@ def test_deduplicate_keeps_one_of_each_group(spark):
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 400)] + [(1000 - i, 999 - i) for i in range(200)] + [(5000, 5001), (5002, 5001)]
     random.Random(3).shuffle(edges)
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
-    assert got == {i: 0 for i in range(401)} | {i: 800 for i in range(800, 1001)} | {5000: 5000, 5001: 5000, 5002: 5000}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    want = {i: 0 for i in range(1, 401)} | {i: 800 for i in range(801, 1001)} | {5001: 5000, 5002: 5000}
+    for finish in (0, 3, 1 << 19):  # by rounds alone, by rounds and a last task, by the last task
+        rows = graph.components(frame, finish).collect()
+        assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_of_one_structure_are_told_apart(spark):
+    turn = str.maketrans("ab", "ba")
+    word = "ab"
+    while len(word) < 4096:
+        word += word.translate(turn)  # polynomials modulo 2^64 do not tell these two apart
+    docs = documents(spark, [word, word.translate(turn)])
+    assert sorted(tuple(r) for r in jaccard.join(docs).collect()) == [(0, 1, 0), (1, 1, 1)]
+
+
+def test_long_runs_are_cut_into_stretches(spark):
+    docs = documents(spark, [f"alpha beta gamma delta w{s} x{s}" for s in range(400)])
+    order = spark.sparkContext.broadcast((jaccard.np.zeros(0, "uint64"), jaccard.np.zeros(0, "int64")))
+    rows = jaccard.records(docs, order, "doc_id", "text", 4, 10)
+    found = jaccard.first_pairs(rows.select(F.explode("prefix").alias("token"), "n", "class"), 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = found.select("token", F.spark_partition_id().alias("task")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = Counter(r.token for r in rows).most_common(1)[0]
+    assert hot[1] == 400 and len({r.task for r in rows if r.token == hot[0]}) > 1
+
+
+def test_deduplicate_with_clashing_names_and_ties(spark):
+    text = babble(1, 50)
+    rows = [(7, text, "b", 1), (7, text, None, 2), (7, text, "a", 3), (8, text + " x", "c", 4), (9, None, "d", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __tag string, __head_id int")
+    kept = jaccard.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(7, text, None, 2), (9, None, "d", 5)]
