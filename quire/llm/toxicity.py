@@ -2,33 +2,37 @@
 
 Two character models of order N over the words of labelled documents, one of
 the toxic and one of the ordinary ones, are interpolated with absolute
-discounting.  Both back off to the same lower-order model, made of
-continuation counts of the two classes together, so that an expression which
-is rare in either class gets nearly the same likelihood from both.
+discounting (modified Kneser-Ney: discounts for counts of one, two and more,
+estimated from the counts of counts).  Both back off to the same lower-order
+model, made of continuation counts of the two classes together, so that an
+expression which is rare in either class gets nearly the same likelihood from
+both.
 
 A word's log-likelihood ratio is the sum over its characters.  For an n-gram
 seen in neither class the shared backoff cancels out and only the contexts'
 backoff weights remain, so a scorer needs two tables: ratio by n-gram and
 ratio by context.  Counting, backoff and ratios are made by DataFrame
 aggregations over all labelled training documents.  The ratios are kept by
-exact n-gram: 28 bytes for each distinct one, so the tables grow with the
+exact n-gram: 36 bytes for each distinct one, so the tables grow with the
 distinct n-grams of the labelled training documents and nothing is merged.
 
-A document's features are length-normalised: the ratios in excess of EXCESS
-nats a word, over the number of words and its root, and the highest ones.  A
-logistic calibration of these is fitted on at most CALIBRATION_ROWS labelled
-documents (chosen by a hash of the id), each scored by tables counted without
-its own half of the training documents.
+A document's features are the difference of its two log-likelihoods a
+character, and, for a few toxic words in a long text, the ratios in excess of
+EXCESS nats a word over the number of words and its root, and the highest
+ones.  A logistic calibration of these is fitted on at most CALIBRATION_ROWS
+labelled documents (chosen by a hash of the id), each scored by tables counted
+without its own half of the training documents.
 
-Training rows are those whose crc32(id as text) mod 3 is not 1.  Labels, lang,
-source and the id never enter a score.
+Training rows are those whose crc32(id as text) mod 3 is not 1; nothing is
+learned from another row's label.  Labels, lang, source and the id never enter
+a score.
 
 Cases: a null or empty text has no words and gets the score of zero features.
 Labels without a document are ignored; of several labels of one document the
-highest counts; null labels are ignored.  With no label of one class, the
-score is the share of toxic labels (0 without labels).  Repeated documents
-count as often as they stand.  An empty table gives an empty result.  Other
-columns are ignored.  Texts are read whole.
+highest counts; null labels are ignored.  Where the training rows have words
+of one class only, the score is the share of toxic ones among them (0 without
+any).  Repeated documents count as often as they stand.  An empty table gives
+an empty result.  Other columns are ignored.  Texts are read whole.
 """
 
 from __future__ import annotations
@@ -38,13 +42,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import _arrow_schema, checkpointed, frugal, map_rows, small_batches
 
 N = 5
-DISCOUNT = 3.0
+TABLES = ("0", "1", "both")  # counted from the training documents of half 0, of half 1, of both
 SHARED_DISCOUNT = 0.75
 EXCESS = 3.0
 CALIBRATION_ROWS = 20_000
@@ -70,7 +75,7 @@ def n_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Ratios:
-    """Ratios by n-gram: sorted hashes, each with the code points it stands for, which every lookup compares."""
+    """Ratios by n-gram, a row for each of TABLES: sorted hashes, each with the code points it stands for, which every lookup compares."""
 
     def __init__(self, grams: pa.ChunkedArray, ratio: np.ndarray, n: int):
         self.n, self.seed = n, 0
@@ -84,7 +89,7 @@ class Ratios:
             if not (hashes[1:] == hashes[:-1]).any():
                 break
             self.seed += 1
-        self.hashes, self.high, self.low, self.ratio = hashes, high[order], low[order], np.asarray(ratio, np.float32)[order]
+        self.hashes, self.high, self.low, self.ratio = hashes, high[order], low[order], np.ascontiguousarray(np.asarray(ratio, np.float32)[:, order])
 
     def _packed(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The n characters that end at each position, 21 bits each: three in one number, the rest in another."""
@@ -98,13 +103,13 @@ class Ratios:
         h = ((h ^ h >> np.uint64(29)) + low) * np.uint64(_MIX[1])
         return h ^ h >> np.uint64(32)
 
-    def of(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The ratio of the n characters that end at each position, NaN for those never seen."""
+    def of(self, points: np.ndarray, ends: np.ndarray, table: int) -> np.ndarray:
+        """The table's ratio of the n characters that end at each position, NaN for those it has never seen."""
         if not len(self.hashes):
             return np.full(len(ends), np.nan, np.float32)
         high, low = self._packed(points, ends)
         at = np.minimum(np.searchsorted(self.hashes, self._hashes(high, low)), len(self.hashes) - 1)
-        return np.where((self.high[at] == high) & (self.low[at] == low), self.ratio[at], np.float32(np.nan))
+        return np.where((self.high[at] == high) & (self.low[at] == low), self.ratio[table][at], np.float32(np.nan))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,11 +121,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def count_n_grams(rows: DataFrame) -> DataFrame:
-    """gram, c_00, c_01, c_10, c_11: occurrences by class and half."""
+    """gram, c_00, c_01, c_10, c_11: occurrences by class and half; for the empty gram, the numbers of documents."""
     schema = "gram string, c_00 long, c_01 long, c_10 long, c_11 long"
     types = _arrow_schema(rows.sparkSession, schema)
 
-    def table(counts):
+    def table(counts, documents):
         grams: list[dict[str, int]] = []
         for c in counts:
             one: dict[str, int] = {}
@@ -130,18 +135,22 @@ def count_n_grams(rows: DataFrame) -> DataFrame:
                     g = padded[i : i + N]
                     one[g] = one.get(g, 0) + k
             grams.append(one)
+        for one, n in zip(grams, documents):
+            one[""] = n
+        documents[:] = [0] * 4
         keys = list(set().union(*grams))
         return pa.RecordBatch.from_arrays([pa.array(keys, types[0].type), *(pa.array([g.get(k, 0) for k in keys], types[1].type) for g in grams)], schema=types)
 
     def run(batches):
-        counts = [Counter() for _ in range(4)]
+        counts, documents = [Counter() for _ in range(4)], [0] * 4
         for batch in small_batches(batches, "text"):
             for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                counts[2 * bool(toxic) + half].update(words_of(text))
+                counts[2 * (toxic > 0) + half].update(words_of(text))
+                documents[2 * (toxic > 0) + half] += 1
             if sum(map(len, counts)) > 2 * MEMO:
-                yield table(counts)
+                yield table(counts, documents)
                 counts = [Counter() for _ in range(4)]
-        yield table(counts)
+        yield table(counts, documents)
 
     parts = rows.select("text", "toxic", "half").mapInArrow(frugal(run), schema)
     return parts.groupBy("gram").agg(*(F.sum(f"c_{x}").alias(f"c_{x}") for x in ("00", "01", "10", "11")))
@@ -170,46 +179,71 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
     return below
 
 
-def ratios(grams: DataFrame, low: DataFrame, toxic, ordinary) -> tuple[DataFrame, DataFrame]:
-    """(gram, ratio) of n-grams and of contexts, by one pair of count columns."""
-    own = grams.select("gram", F.substring("gram", 1, N - 1).alias("ctx"), F.substring("gram", 2, N - 1).alias("low"), toxic.alias("c1"), ordinary.alias("c0")).filter("c1 + c0 > 0")
-    sums = own.groupBy("ctx").agg(*(f for x in ("c0", "c1") for f in (F.sum(x).alias(f"den_{x}"), F.sum(F.least(F.col(x), F.lit(DISCOUNT))).alias(f"mass_{x}"))))
+def count_columns() -> dict[str, Column]:
+    """Of each of TABLES and each class (1 toxic, 0 ordinary), the count of an n-gram."""
+    by_half = {f"{x}_{h}": F.col(f"c_{x}{h}") for x in (1, 0) for h in (0, 1)}
+    return by_half | {f"{x}_both": by_half[f"{x}_0"] + by_half[f"{x}_1"] for x in (1, 0)}
+
+
+def discounts(grams: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """Modified Kneser-Ney discounts of counts 1, 2 and more, for each count column."""
+    columns = count_columns()
+    n = grams.agg(*(F.count_if(c == k).alias(f"{name}:{k}") for name, c in columns.items() for k in (1, 2, 3, 4))).head()
+    found = {}
+    for name in columns:
+        n1, n2, n3, n4 = (n[f"{name}:{k}"] for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        found[name] = tuple(min(float(k), max(0.1, k - (k + 1) * y * more / few)) if few else 0.75 * k for k, few, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return found
+
+
+def ratios(grams: DataFrame, low: DataFrame, discount: dict[str, tuple[float, float, float]]) -> tuple[DataFrame, DataFrame]:
+    """(gram, r_0, r_1, r_both) of n-grams and of contexts, in one aggregation; null where a table lacks the n-gram."""
+    columns = count_columns()
+    own = grams.select("gram", F.substring("gram", 1, N - 1).alias("ctx"), F.substring("gram", 2, N - 1).alias("low"), *(c.alias(f"n{name}") for name, c in columns.items()))
+
+    def off(name):
+        c, (one, two, more) = F.col(f"n{name}"), discount[name]
+        return F.when(c <= 0, 0.0).when(c == 1, one).when(c == 2, two).otherwise(more)
+
+    sums = own.groupBy("ctx").agg(*(f for x in columns for f in (F.sum(f"n{x}").alias(f"den{x}"), F.sum(off(x)).alias(f"mass{x}"))))
 
     def weight(x):
-        return F.when(F.col(f"den_{x}") > 0, F.col(f"mass_{x}") / F.col(f"den_{x}")).otherwise(F.lit(1.0))
+        return F.when(F.col(f"den{x}") > 0, F.col(f"mass{x}") / F.col(f"den{x}")).otherwise(F.lit(1.0))
 
     def p(x):
-        seen = F.when(F.col(f"den_{x}") > 0, F.greatest(F.col(x) - DISCOUNT, F.lit(0.0)) / F.col(f"den_{x}")).otherwise(F.lit(0.0))
+        seen = F.when(F.col(f"den{x}") > 0, (F.col(f"n{x}") - off(x)) / F.col(f"den{x}")).otherwise(F.lit(0.0))
         return seen + weight(x) * F.col("p_low")
 
-    by_gram = own.join(sums, "ctx").join(low, "low").select("gram", F.ln(p("c1") / p("c0")).alias("ratio"))
-    by_context = sums.select(F.col("ctx").alias("gram"), F.ln(weight("c1") / weight("c0")).alias("ratio"))
+    by_gram = own.join(sums, "ctx").join(low, "low").select("gram", *(F.when(F.col(f"n1_{t}") + F.col(f"n0_{t}") > 0, F.ln(p(f"1_{t}") / p(f"0_{t}"))).alias(f"r_{t}") for t in TABLES))
+    by_context = sums.select(F.col("ctx").alias("gram"), *(F.when(F.col(f"den1_{t}") + F.col(f"den0_{t}") > 0, F.ln(weight(f"1_{t}") / weight(f"0_{t}"))).alias(f"r_{t}") for t in TABLES))
     return by_gram, by_context
 
 
 def ratio_table(rows: DataFrame, n: int) -> Ratios:
     """The ratios by exact n-gram; as many rows reach the driver as there are distinct ones."""
-    got = rows.select("gram", F.col("ratio").cast("float").alias("ratio")).toArrow()
-    return Ratios(got["gram"], got["ratio"].to_numpy(), n)
+    got = rows.select("gram", *(F.col(f"r_{t}").cast("float").alias(t) for t in TABLES)).toArrow()
+    return Ratios(got["gram"], np.stack([got[t].to_numpy() for t in TABLES]), n)
 
 
-def word_ratios(words: list[str], by_gram: Ratios, by_context: Ratios) -> np.ndarray:
+def word_ratios(words: list[str], by_gram: Ratios, by_context: Ratios, table: int = 2) -> np.ndarray:
     points, ends, sizes = n_grams(words)
-    seen = by_gram.of(points, ends)
-    context = by_context.of(points, ends - 1)
+    seen = by_gram.of(points, ends, table)
+    context = by_context.of(points, ends - 1, table)
     each = np.where(np.isnan(seen), np.nan_to_num(context), seen)
     return np.add.reduceat(each, np.cumsum(sizes) - sizes, dtype=np.float64)
 
 
 def features(memo: dict[str, float], words: list[str]) -> list[float]:
     if not words:
-        return [0.0, 0.0, 0.0, 0.0]
+        return [0.0] * 5
     v = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
     excess = float(np.maximum(v - EXCESS, 0).sum())
-    return [excess / len(v), excess / len(v) ** 0.5, float(np.log1p(excess)), float(min(max(v.max(), 0.0), 20.0))]
+    difference = float(v.sum()) / (sum(map(len, words)) + len(v))
+    return [difference, excess / len(v), excess / len(v) ** 0.5, float(np.log1p(excess)), float(min(max(v.max(), 0.0), 20.0))]
 
 
-def feature_maker(tables):
+def feature_maker(tables, table: int = 2):
     memo: dict[str, float] = {}
 
     def of(texts):
@@ -219,7 +253,7 @@ def feature_maker(tables):
             memo.clear()
             new = list(set().union(*lists))
         if new:
-            memo.update(zip(new, word_ratios(new, *tables).tolist()))
+            memo.update(zip(new, word_ratios(new, *tables, table).tolist()))
         return [features(memo, w) for w in lists]
 
     return of
@@ -241,34 +275,33 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.nda
 
 
 class Model:
-    """Tables and calibration; what is broadcast to score documents."""
+    """Tables, as a broadcast, and calibration."""
 
-    def __init__(self, tables, calibration, constant: float | None = None):
+    def __init__(self, tables: Broadcast | None, calibration, constant: float | None = None):
         self.tables, self.calibration, self.constant = tables, calibration, constant
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     spark = docs.sparkSession
-    rows = training_rows(docs, labels, id_col, text_col)
-    grams = checkpointed(count_n_grams(rows))
-    kinds = {r.toxic: r.n for r in labels.dropna(subset=["toxic"]).groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    totals = grams.agg(F.sum(F.col("c_00") + F.col("c_01")).alias("ordinary"), F.sum(F.col("c_10") + F.col("c_11")).alias("toxic")).head()
-    if not totals.ordinary or not totals.toxic:
-        return Model(None, None, kinds.get(1, 0) / max(1, sum(kinds.values())))
+    counted = checkpointed(count_n_grams(training_rows(docs, labels, id_col, text_col)))
+    grams = counted.filter("gram != ''")
+    ordinary, toxic = (F.col(f"c_{x}0") + F.col(f"c_{x}1") for x in (0, 1))
+    found = counted.groupBy((F.col("gram") == "").alias("documents")).agg(F.sum(ordinary).alias("ordinary"), F.sum(toxic).alias("toxic")).collect()
+    kinds = {(r.documents, c): r[c] for r in found for c in ("ordinary", "toxic")}
+    n_docs = sum(kinds.get((True, c), 0) for c in ("ordinary", "toxic"))
+    share = kinds.get((True, "toxic"), 0) / max(1, n_docs)
+    if not kinds.get((False, "ordinary")) or not kinds.get((False, "toxic")):
+        return Model(None, None, share)
     low = checkpointed(shared_backoff(grams))
-
-    def tables(*halves):
-        pick = lambda x: sum((F.col(f"c_{x}{h}") for h in halves), F.lit(0))
-        by_gram, by_context = ratios(grams, low, pick(1), pick(0))
-        return ratio_table(by_gram, N), ratio_table(by_context, N - 1)
-
-    of_half = [spark.sparkContext.broadcast(tables(1 - h)) for h in (0, 1)]  # each half is scored by the other's counts
-    rate = min(1.0, CALIBRATION_ROWS / max(1, sum(kinds.values())))
+    by_gram, by_context = ratios(grams, low, discounts(grams))
+    tables = ratio_table(by_gram, N), ratio_table(by_context, N - 1)
+    shared = spark.sparkContext.broadcast(tables)
+    rate = min(1.0, CALIBRATION_ROWS / max(1, n_docs))
     some = docs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 20)) < int(rate * (1 << 20)))
     sample = training_rows(some, labels, id_col, text_col).select("id", "toxic", "half", "text")
 
     def make():
-        makers = [feature_maker(b.value) for b in of_half]
+        makers = [feature_maker(shared.value, 1 - h) for h in (0, 1)]  # each half is scored by the other's counts
 
         def handle(ids, toxic, half, texts):
             out = [None] * len(texts)
@@ -281,12 +314,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return handle
 
     got = map_rows(sample, "toxic int, x array<double>", make, "text").toArrow()
-    x, y = np.array(got["x"].to_pylist(), float).reshape(-1, 4), (got["toxic"].to_numpy() > 0).astype(float)
-    for b in of_half:
-        b.destroy()
+    x, y = np.array(got["x"].to_pylist(), float).reshape(-1, 5), (got["toxic"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
-        return Model(None, None, kinds.get(1, 0) / max(1, sum(kinds.values())))
-    return Model(tables(0, 1), calibrate(x, y))
+        shared.destroy()
+        return Model(None, None, share)
+    return Model(shared, calibrate(x, y))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,10 +326,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     if model.constant is not None:
         return rows.select(id_col, F.lit(float(model.constant)).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.tables, model.calibration))
+    shared, calibration = model.tables, model.calibration
 
     def make():
-        score_of = scorer(*shared.value)
+        score_of = scorer(shared.value, calibration)
         return lambda ids, texts: (ids, score_of(texts))
 
     return map_rows(rows, f"{id_col} long, score double", make, text_col)
@@ -319,10 +351,10 @@ def filter_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshol
     """The rows whose score is below the threshold, with all their columns."""
     if model.constant is not None:
         return docs.filter(F.lit(float(model.constant) < threshold))
-    shared = docs.sparkSession.sparkContext.broadcast((model.tables, model.calibration))
+    shared, calibration = model.tables, model.calibration
 
     def run(batches):
-        score_of = scorer(*shared.value)
+        score_of = scorer(shared.value, calibration)
         for batch in small_batches(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([s < threshold for s in score_of(texts)], pa.bool_()))

@@ -45,28 +45,54 @@ def test_labels_lang_source_and_ids_do_not_enter(spark):
 
 def test_ratios_match_brute_force(spark):
     docs, labels = corpus(spark, 60)
-    grams = toxicity.count_n_grams(toxicity.training_rows(docs, labels, "doc_id", "text"))
+    grams = toxicity.checkpointed(toxicity.count_n_grams(toxicity.training_rows(docs, labels, "doc_id", "text")).filter("gram != ''"))
     low = {r.low: r.p_low for r in toxicity.shared_backoff(grams).collect()}
-    by_gram, by_context = toxicity.ratios(grams, toxicity.shared_backoff(grams), F.col("c_10") + F.col("c_11"), F.col("c_00") + F.col("c_01"))
+    discount = toxicity.discounts(grams)
+    by_gram, by_context = toxicity.ratios(grams, toxicity.shared_backoff(grams), discount)
     counts = [Counter(), Counter()]
     train = docs.join(labels, "doc_id").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     for r in train.collect():
         for w in toxicity.words_of(r.text):
             t = "\x02" * 4 + w + "\x03"
             counts[r.toxic].update(t[i : i + 5] for i in range(len(t) - 4))
+    weights = []
+    for x, c in enumerate(counts):
+        n = Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2])
+        d = [min(k, max(0.1, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.75 * k for k in (1, 2, 3)]
+        assert discount[f"{x}_both"] == pytest.approx(d)
+        off, den, mass = {g: d[min(k, 3) - 1] for g, k in c.items()}, Counter(), Counter()
+        for g, k in c.items():
+            den[g[:4]] += k
+            mass[g[:4]] += off[g]
+        weights.append((c, off, den, mass))
+
+    def p(g, c, off, den, mass):
+        ctx = g[:4]
+        return ((c[g] - off.get(g, 0)) + mass[ctx] * low[g[1:]]) / den[ctx] if den[ctx] else low[g[1:]]
+
     for r in by_gram.collect():
-        p = []
-        for c in counts:
-            den = sum(k for g, k in c.items() if g[:4] == r.gram[:4])
-            mass = sum(min(k, 3) for g, k in c.items() if g[:4] == r.gram[:4])
-            p.append((max(c[r.gram] - 3, 0) + mass * low[r.gram[1:]]) / den if den else low[r.gram[1:]])
-        assert r.ratio == pytest.approx(math.log(p[1] / p[0]), abs=1e-9)
+        assert r.r_both == pytest.approx(math.log(p(r.gram, *weights[1]) / p(r.gram, *weights[0])), abs=1e-9)
+    for r in by_context.collect():
+        back = [mass[r.gram] / den[r.gram] if den[r.gram] else 1.0 for _, _, den, mass in weights]
+        assert r.r_both == pytest.approx(math.log(back[1] / back[0]), abs=1e-9)
     sums = Counter()
     for g, p in low.items():
         sums[g[:3]] += p
     assert all(0 < v <= 1 + 1e-9 for v in sums.values())  # the rest is what unseen continuations get
 
 
+def test_nothing_is_learned_from_held_out_labels(spark):
+    docs, _ = corpus(spark, 90)
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(90)]
+    labels = spark.createDataFrame([(i, int(h)) for i, h in enumerate(held)] + [(1000 + i, 1) for i in range(90)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels).constant == 0.0
+    flipped = labels.select("doc_id", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("doc_id") % 2).cast("int").alias("toxic"))
+    kept = flipped.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    scores = [sorted(tuple(r) for r in toxicity.score(docs, toxicity.train(docs, x)).collect()) for x in (flipped, kept)]
+    assert scores[0] == pytest.approx(scores[1])
+
+
 def test_odd_rows(spark):
     docs, labels = corpus(spark, 120)
     model = toxicity.train(docs, labels)
@@ -86,9 +112,9 @@ def test_no_two_n_grams_share_a_ratio(spark):
     docs = documents(spark, [" ".join(word() for _ in range(400)) for _ in range(120)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    grams = toxicity.checkpointed(toxicity.count_n_grams(toxicity.training_rows(docs, labels, "doc_id", "text")))
-    both = toxicity.ratios(grams, toxicity.shared_backoff(grams), F.col("c_10") + F.col("c_11"), F.col("c_00") + F.col("c_01"))
-    by_gram, by_context = ({r.gram: r.ratio for r in t.collect()} for t in both)
+    grams = toxicity.checkpointed(toxicity.count_n_grams(toxicity.training_rows(docs, labels, "doc_id", "text")).filter("gram != ''"))
+    both = toxicity.ratios(grams, toxicity.shared_backoff(grams), toxicity.discounts(grams))
+    by_gram, by_context = ({r.gram: r.r_both for r in t.collect()} for t in both)
     assert len(by_gram) > 200_000
     known = sorted({w for r in docs.limit(40).collect() for w in r.text.split()})
     words = known + [word() for _ in range(5000)]
@@ -96,4 +122,4 @@ def test_no_two_n_grams_share_a_ratio(spark):
     for w in words:
         t = "\x02" * 4 + w + "\x03"
         want.append(sum(by_gram.get(t[i : i + 5], by_context.get(t[i : i + 4], 0.0)) for i in range(len(t) - 4)))
-    assert np.allclose(toxicity.word_ratios(words, *model.tables), want, atol=1e-4)
+    assert np.allclose(toxicity.word_ratios(words, *model.tables.value), want, atol=1e-4)
