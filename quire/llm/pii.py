@@ -13,7 +13,9 @@ and not tried again in another form.
 url_login: scheme://user:password@host.  iban: a cue, then a country code and
 check digits that pass mod 97.  ssn: a cue, then ddd-dd-dddd with a legal area.
 account: an account or routing cue, then 6 to 17 digits.  address: house
-number, one to four words and a street word, found from the street word.
+number, one to four capitalised words and a street word, found from the street
+word.  secret: a cue such as token or password, an equals sign or colon, then
+16 or more characters of a key.  Cues are found in any case.
 
 Cases: a null or empty text has no spans.  Texts are scanned whole, in time
 linear in their length.  Offsets are code points, the end exclusive.  Equal
@@ -32,16 +34,17 @@ from quire.llm.common import frugal, map_rows, small_batches
 
 #: The kinds of the base expressions, in the order that ties are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("url_login", "iban", "ssn", "account", "address")
+EXTRA_KINDS = ("url_login", "iban", "ssn", "account", "address", "secret")
 
-#: Anchors of the automaton, by the parser that they start.
+#: Anchors of the automaton, by the parser that they start; letters stand for either case.
 ANCHORS = {
     "email": ("@",),
     "url_login": ("://",),
-    "iban": ("iban", "IBAN", "Iban"),
-    "ssn": ("ssn", "SSN", "social security", "Social Security", "Social security"),
-    "account": ("account", "Account", "ACCOUNT", "routing", "Routing"),
-    "address": (" Street", " Avenue", " Road", " Boulevard", " Lane", " Drive", " street", " avenue", " road", " boulevard", " lane", " drive"),
+    "iban": ("iban",),
+    "ssn": ("ssn", "social security"),
+    "account": ("account", "routing"),
+    "address": (" street", " avenue", " road", " boulevard", " lane", " drive"),
+    "secret": ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "api key", "access_key", "access key", "private_key"),
 }
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -51,11 +54,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-LOGIN = re.compile(r"[^\s/@:]{1,256}:[^\s/@]{1,256}@[A-Za-z0-9.-]{1,253}")
-IBAN = re.compile(r"[\s:#.]{0,4}(?:is\s)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-SSN = re.compile(r"[\s:#.]{0,4}(?:number|no\.?)?[\s:#.]{0,4}(?:is\s)?(([0-9]{3})-([0-9]{2})-([0-9]{4}))(?![0-9-])")
-ACCOUNT = re.compile(r"[\s:#.]{0,4}(?:number|no\.?|nr\.?)?[\s:#.]{0,4}(?:is\s)?([0-9]{6,17})(?![0-9])")
-HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]+ ?){1,4}$")
+LOGIN = re.compile(r"[^\s/@:]++:[^\s/@]++@[A-Za-z0-9.-]++")
+IBAN = re.compile(r"[\s:#.]*+(?:is\s++)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+SSN = re.compile(r"[\s:#.]*+(?:(?:number|no\.?)[\s:#.]*+)?(?:is\s++)?(([0-9]{3})-([0-9]{2})-([0-9]{4}))(?![0-9-])")
+ACCOUNT = re.compile(r"[\s:#.]*+(?:(?:number|no\.?|nr\.?)[\s:#.]*+)?(?:is\s++)?([0-9]{6,17})(?![0-9])")
+SECRET = re.compile(r"[\"']?\s*+[:=]\s*+[\"']?([A-Za-z0-9+/_=.-]{16,}+)")
+HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?$")
 LUHN = str.maketrans("0123456789", "0246813579")
 
 
@@ -91,13 +95,34 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return (start, domain.end()) if domain else None
 
 
+def _address(text: str, at: int) -> int | None:
+    """Where the address begins whose street word stands behind the blank at `at`."""
+    for _ in range(4):
+        start = at
+        while start and "a" <= text[start - 1] <= "z":
+            start -= 1
+        if start == at or start < 2 or not "A" <= text[start - 1] <= "Z" or text[start - 2] != " ":
+            return None
+        at = start - 2
+        if house := HOUSE.search(text, max(0, at - 7), at):
+            if house.start() > at - 7 or at < 8 or not text[at - 8].isalnum():
+                return house.start()
+    return None
+
+
+def folded(text: str) -> str:
+    """Lower case, code point by code point."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(low if len(low := c.lower()) == 1 else c for c in text)
+
+
 def spans(text: str | None, anchors) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans, by start, then kind as listed."""
     if not text:
         return []
     found: list[tuple[int, int, str]] = []
     ends = dict.fromkeys(ANCHORS, 0)
-    for last, (kind, size) in anchors.iter(text):
+    for last, (kind, size) in anchors.iter(folded(text)):
         start, after = last - size + 1, last + 1
         span = None
         if start < ends[kind]:
@@ -124,13 +149,16 @@ def spans(text: str | None, anchors) -> list[tuple[int, int, str]]:
             if m := ACCOUNT.match(text, after):
                 span = m.span(1)
         elif kind == "address":
-            if (after == len(text) or not text[after].isalnum()) and (m := HOUSE.search(text, max(0, start - 80), start)):
-                span = (m.start(), after)
+            if (after == len(text) or not text[after].isalnum()) and (house := _address(text, start)) is not None and house >= ends[kind]:
+                span = (house, after)
+        elif kind == "secret":
+            if m := SECRET.match(text, after):
+                span = m.span(1)
         if span:
             found.append((*span, kind))
             ends[kind] = span[1]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             found.append((*m.span(), "ip"))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(digits := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(digits):
