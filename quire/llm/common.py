@@ -30,6 +30,12 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """The folder goes, in whatever store it stands."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def frugal(run: Callable) -> Callable:
     """run for mapInArrow, giving memory back to the machine now and then and at the end: idle workers of earlier stages stay alive."""
 

@@ -58,7 +58,7 @@ def test_ratios_match_brute_force(spark):
     weights = []
     for x, c in enumerate(counts):
         n = Counter(c.values())
-        y = n[1] / (n[1] + 2 * n[2])
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
         d = [min(k, max(0.1, k - (k + 1) * y * n[k + 1] / n[k])) if n[k] else 0.75 * k for k in (1, 2, 3)]
         assert discount[f"{x}_both"] == pytest.approx(d)
         off, den, mass = {g: d[min(k, 3) - 1] for g, k in c.items()}, Counter(), Counter()
