@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -30,6 +31,13 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def saved(frame: DataFrame) -> DataFrame:
+    """The frame, written to the shared checkpoint folder as Parquet and read again: its size is known, so small ones are broadcast and others are not."""
+    path = f"{checkpoint_dir(frame.sparkSession)}/saved-{uuid.uuid4()}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """The folder goes, in whatever store it stands."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,45 +6,65 @@ from the root, and the text runs between them.  Over the pages of one host
 1. a token's occurrence vector is how often each page holds it.  Vectors are
    compared by a 64-bit sum over pages of a hash of (page, count), so that one
    distributed aggregation makes them, however many pages a host has;
-2. tokens with equal vectors and enough support form an equivalence class.
-   A class of elements is valid if its members lie within one another in one
-   order (each one's path goes on from a member or from the root); valid
-   classes are nested into the template by the paths between which they stand;
-3. the text directly inside a template element, between one token and the
-   next, is a slot, unless it is a token of a class itself: then it belongs
-   to the template.  The main slots are those of the content element: an
-   article or main element where the template has one, else the innermost
-   element that holds most of the text that is in no excluded element;
-4. a page's text is what its main slots hold, without excluded elements.
-
-Excluded are the elements, classes and roles of EXCLUDED_*: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, comments.
-
-Pages meet their host's template by a join on the host, whose large groups
-Spark may split; a page is never collected with its host.  A template holds
-tokens of at least a LEAST_SHARE of the host's pages, so its size is bounded
-by the size of pages, not by their number.
+2. tokens with equal vectors form an equivalence class.  A class counts if
+   LEAST_PAGES pages and a LEAST_SHARE of the host's pages hold it, and if it
+   has LEAST_TOKENS tokens and an element among them: text runs alone are
+   copies of a passage, not a layout.  A layout that only some pages have is a
+   class of its own, so a host may have several;
+3. a second pass holds each class against every page.  Its tokens have to
+   stand in one order, that of their mean places (those that leave it are
+   taken out of the class), tuple after tuple if they repeat; and of any two
+   classes one's tuples have to lie in one gap of the other's, the same one on
+   all pages, or the smaller class is invalid.  Valid classes, nested by these
+   gaps and by the paths of their elements, are the template;
+4. a template's text runs are constants.  If they are more than MOST_CONSTANT
+   of the text of the pages that hold the class, these pages are copies of one
+   another and the runs are data;
+5. what stands between the template's tokens is slots, named by the innermost
+   template element around them.  The main slots are those of the template's
+   article or main elements; on pages without them, those of the innermost
+   element that holds most of the slots' text;
+6. a page's text is what its main slots hold, without constants and excluded
+   elements.  Pages that hold no main slot (a host with too few pages, a page
+   of no layout) give their own article or main element, or all their text.
+
+Excluded are the elements and roles of EXCLUDED_*: menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles, comments.  A class or id
+that is one of EXCLUDED_NAMES excludes, too; one that only contains such a
+name as a part (related-work) does so if the template holds the element.
+Neither they nor forms exclude the page's only article or main element.
+
+Pages meet their host's tokens and template by joins on the host, broadcast
+where these are small and else sorted, whose large groups Spark may split; a
+page is never collected with its host.  A template holds tokens of at least a
+LEAST_SHARE of the host's pages, so its size is bounded by the size of pages,
+not by their number.
 
 Cases: a null or empty html gives an empty text; a null url is a host of its
-own.  A host's only page has itself as template.  Repeated pages count as
-pages.  Unclosed and stray tags are read as browsers do: an unclosed element
-ends with its parent.  Empty tables give empty results; other columns are
-ignored.  Pages are read whole, in linear time.
+own.  Repeated pages count as pages.  Unclosed and stray tags are read as
+browsers do: an unclosed element ends with its parent.  Empty tables give
+empty results; other columns are ignored.  Pages are read whole, in linear
+time.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
+from bisect import bisect_left
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _arrow_schema, checkpointed, frugal, small_batches
+from quire.llm.common import _arrow_schema, checkpointed, frugal, saved, small_batches
 
-LEAST_SHARE = 0.3
+LEAST_PAGES = 3
+LEAST_SHARE = 0.02
+LEAST_TOKENS = 3
+MOST_CONSTANT = 0.2
 
 #: Elements by kind, as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -86,21 +106,29 @@ def mark(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def excluded(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is excluded, and the name that its path shows."""
+#: How an element is excluded: not, if the template holds it, unless the page's only main element is in it, always.
+NOT, WEAK, NAMED, ALWAYS = range(4)
+
+
+def excluded(tag: str, attributes: str) -> tuple[int, str]:
+    """How an element is excluded, and the name that its path shows."""
     shown = tag
-    out = tag in EXCLUDED_TAGS
+    out = NAMED if tag == "form" else ALWAYS if tag in EXCLUDED_TAGS else NOT
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                names = {x.lower() for x in _SPLIT.split(value)}
-                out = out or bool(names & EXCLUDED_NAMES)
+                whole = value.lower().split()
+                if not EXCLUDED_NAMES.isdisjoint(whole):
+                    out = max(out, NAMED)
+                elif any(x.lower() in EXCLUDED_NAMES for x in _SPLIT.split(value)):
+                    out = max(out, WEAK)
                 shown += f".{value.strip().lower()}" if name == "class" else ""
             elif name == "role":
-                out = out or value.strip().lower() in EXCLUDED_ROLES
+                if value.strip().lower() in EXCLUDED_ROLES:
+                    out = max(out, NAMED)
             elif name == "hidden" or value.strip().lower() == "true":
-                out = True
+                out = ALWAYS
     return out, shown
 
 
@@ -146,32 +174,64 @@ class Page:
     def __init__(self, source: str | None):
         self.paths: dict[str, int] = {"": 0}  # path -> its number
         self.parents = [-1]
-        self.main = [False]  # by path: a main element or inside one
-        self.out = [False]  # by path: an excluded element or inside one
+        self.tags = [""]
+        self.how = [NOT]  # by path: how this element alone is excluded
         self.counts = [1]
-        self.chars = [0]  # code points of text directly inside
         self.runs: list[tuple[str, int]] = []  # ("\n" for a block's end, -1)
+        self.sequence: list[tuple[int, int]] = []  # (path, -1) where an element begins, (path, run) of a text
         if source:
             self._read(source)
-
-    def _path(self, parent: int, name: str, tag: str, out: bool) -> int:
+        for spared in (False, True):  # with main elements, if it has some that are not excluded
+            self.out = self._out(spared)
+            self.main = self._main()
+            if any(self.main) or not any(t in MAIN_TAGS for t in self.tags):
+                break
+
+    def _out(self, spared: bool, template: frozenset = frozenset(), marks: list[int] = ()) -> list[bool]:
+        """By path: an excluded element or inside one.  spared: names and forms do not exclude what holds a main element."""
+        holds = [t in MAIN_TAGS for t in self.tags]
+        for k in range(len(holds) - 1, 0, -1):  # a parent has a smaller number
+            if holds[k]:
+                holds[self.parents[k]] = True
+        out = [False]
+        for k in range(1, len(self.how)):
+            how = self.how[k]
+            own = how == ALWAYS or how == NAMED and not (spared and holds[k]) or how == WEAK and bool(template) and marks[k] in template and not holds[k]
+            out.append(own or out[self.parents[k]])
+        self.spared = spared
+        return out
+
+    def _main(self) -> list[bool]:
+        """By path: a main element or inside one."""
+        main = [False]
+        for k in range(1, len(self.tags)):
+            main.append(main[self.parents[k]] or (self.tags[k] in MAIN_TAGS and not self.out[k]))
+        return main
+
+    def confirm(self, template: frozenset, marks: list[int]):
+        """Elements that only parts of names speak against are excluded if the template holds them."""
+        if WEAK in self.how:
+            self.out = self._out(self.spared, template, marks)
+            self.main = self._main()
+
+    def _path(self, parent: int, name: str, tag: str, how: int) -> int:
         key = f"{parent}>{name}"
         number = self.paths.get(key)
         if number is None:
             number = self.paths[key] = len(self.parents)
             self.parents.append(parent)
-            self.out.append(self.out[parent] or out)
-            self.main.append(self.main[parent] or (tag in MAIN_TAGS and not self.out[number]))
+            self.tags.append(tag)
+            self.how.append(how)
             self.counts.append(0)
-            self.chars.append(0)
         self.counts[number] += 1
+        self.sequence.append((number, -1))
         return number
 
     def _text(self, text: str, path: int):
         text = _html.unescape(text) if "&" in text else text
         if text:
+            self.sequence.append((path, len(self.runs)))
             self.runs.append((text, path))
-            self.chars[path] += len(text)
 
     def _read(self, source: str):
         stack = Open()
@@ -205,6 +265,13 @@ class Page:
         if at < len(source):
             self._text(source[at:], stack.path)
 
+    def anchors(self, marks: list[int], elements: frozenset) -> list[int]:
+        """By path: the innermost of these elements around it, itself included; -1 for none."""
+        found = [-1]
+        for k in range(1, len(marks)):
+            found.append(k if marks[k] in elements else found[self.parents[k]])
+        return found
+
     def names(self) -> list[int]:
         """A hash for each path, equal on all pages."""
         marks = [0] * len(self.parents)
@@ -222,11 +289,28 @@ class Page:
         return " ".join("".join(out).split())
 
 
-TOKENS = "host long, token long, parent long, kind int, page long, n long, chars long"
+    def tokens(self, marks: list[int]) -> list[tuple[int, int, int]]:
+        """(token, path, code points) in page order: elements, with -1 code points, and texts that are not excluded."""
+        found = []
+        for path, run in self.sequence:
+            if run < 0:
+                found.append((marks[path], path, -1))
+            elif not self.out[path] and (shown := " ".join(self.runs[run][0].split())):
+                found.append((mark(f"{marks[path]}|{shown}"), path, len(shown)))
+        return found
+
+
+TOKENS = "host long, token long, parent long, kind int, page long, n long, place long"
+TEXT, PLAIN, MAIN, OUT, PAGE = range(5)
+
+
+def _rows(pages: DataFrame) -> DataFrame:
+    url = F.col("url").cast("string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"), host_of(url).alias("host"))
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """A row for each page and token: elements (kind 1: plain, 2: main, 3: excluded), text runs outside main elements (kind 0), the page itself (kind 4)."""
+    """A row for each page and token, with its kind, its number and its first place; a PAGE row for the page itself."""
     types = _arrow_schema(pages.sparkSession, TOKENS)
 
     def run(batches):
@@ -235,113 +319,274 @@ def tokens(pages: DataFrame) -> DataFrame:
             for host, url, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 page, this = Page(source), mark(f"{url}\n{source}")
                 marks = page.names()
-                rows.append((host, 0, 0, 4, this, 1, 0))
-                for k in range(1, len(marks)):
-                    kind = 3 if page.out[k] else 2 if page.main[k] else 1
-                    rows.append((host, marks[k], marks[page.parents[k]], kind, this, page.counts[k], page.chars[k]))
+                rows.append((host, 0, 0, PAGE, this, 1, 0))
                 seen: dict[int, list] = {}
-                for text, path in page.runs:
-                    if path >= 0 and not page.main[path] and not page.out[path] and (shown := " ".join(text.split())):
-                        token = mark(f"{marks[path]}|{shown}")
-                        seen.setdefault(token, [marks[path], 0, len(shown)])[1] += 1
-                rows += [(host, t, parent, 0, this, n, chars) for t, (parent, n, chars) in seen.items()]
+                for place, (token, path, chars) in enumerate(page.tokens(marks)):
+                    if token in seen:
+                        seen[token][1] += 1
+                    else:
+                        kind = TEXT if chars >= 0 else OUT if page.out[path] else MAIN if page.main[path] else PLAIN
+                        seen[token] = [marks[path] if chars >= 0 else marks[page.parents[path]], 1, place, kind]
+                rows += [(host, t, parent, kind, this, n, place) for t, (parent, n, place, kind) in seen.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), types)], schema=types)
 
-    url = F.col("url").cast("string")
-    return pages.select(host_of(url).alias("host"), url.alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(frugal(run), TOKENS)
-
+    return _rows(pages).select("host", "url", "html").mapInArrow(frugal(run), TOKENS)
 
-TEMPLATE = "host long, slots array<long>, constants array<long>"
 
+def candidates(pages: DataFrame) -> DataFrame:
+    """(host, blob) of the hosts' frequent elements and the classes' tokens: token, parent, kind, class (-1: none), place in the class.
 
-def templates(pages: DataFrame) -> DataFrame:
-    """A row a host: the elements whose slots are main, and the text runs that belong to the template."""
+    Classes are numbered by their pages, the most first.
+    """
     vector = F.xxhash64("page", "n")
-    counted = tokens(pages).groupBy("host", "token", "parent", "kind").agg(
+    counted = tokens(pages).groupBy("host", "token", "parent").agg(
         F.sum(F.shiftright(vector, 32)).alias("high"),  # halves: their sums fit 64 bits up to 2^31 pages a host
         F.sum(vector.bitwiseAND(F.lit((1 << 32) - 1))).alias("low"),
         F.count(F.lit(1)).alias("pages"),
-        F.sum("n").alias("n"),
-        F.sum("chars").alias("chars"),
+        F.max("kind").alias("kind"),
+        (F.sum("place") / F.count(F.lit(1))).alias("place"),
     )
     counted = checkpointed(counted)
-    hosts = counted.filter("kind = 4").select(F.col("host").alias("__host"), F.col("pages").alias("of"))
-    common = counted.filter("kind < 4").join(hosts, F.col("host") == F.col("__host")).filter((F.col("pages") >= LEAST_SHARE * F.col("of")) & ((F.col("kind") > 0) | (F.col("pages") > 1)))
-    rows = common.select("host", F.struct("token", "parent", "kind", F.concat_ws(":", "high", "low", "pages").alias("vector"), "pages", "of", "n", "chars").alias("row"))
-    types = _arrow_schema(pages.sparkSession, TEMPLATE)
+    hosts = counted.filter(F.col("kind") == PAGE).select(F.col("host").alias("__host"), F.col("pages").alias("of"))
+    often = (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("of"))
+    frequent = counted.filter(F.col("kind") != PAGE).join(hosts, F.col("host") == F.col("__host")).filter(often)
+    classes = frequent.groupBy("host", "high", "low", "pages").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("kind") != TEXT).alias("elements"))
+    classes = classes.filter((F.col("size") >= LEAST_TOKENS) & (F.col("elements") > 0)).select(*(F.col(c).alias(f"__{c}") for c in ("host", "high", "low", "pages")), "size")
+    same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"__{c}") for c in ("host", "high", "low", "pages")))
+    met = frequent.drop("__host").join(classes, same, "left").filter((F.col("kind") != TEXT) | F.col("size").isNotNull())
+    rows = met.select("host", F.struct("token", "parent", "kind", "high", "low", "pages", "size", "place").alias("row"))
+    types = _arrow_schema(pages.sparkSession, "host long, blob binary")
 
     def run(batches):
         for batch in batches:
-            made = [deduce(r) for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([s for s, _ in made], types[1].type), pa.array([c for _, c in made], types[2].type)], schema=types)
-
-    return checkpointed(rows.groupBy("host").agg(F.collect_list("row").alias("rows")).mapInArrow(frugal(run), TEMPLATE))
-
-
-def deduce(rows: list[dict]) -> tuple[list[int], list[int]]:
-    """(main slots, constants) of one host, from the tokens that enough of its pages share."""
-    elements = {r["token"]: r for r in rows if r["kind"] > 0}
-    classes: dict[str, list[int]] = {}
-    for t, r in elements.items():
-        classes.setdefault(r["vector"], []).append(t)
-    # Valid: each member's parent is a member, another class's element or the root; classes nest by these parents.
-    valid = {t for members in classes.values() for t in members if elements[t]["parent"] == 0 or elements[t]["parent"] in elements}
-    constants = sorted(r["token"] for r in rows if r["kind"] == 0)
-    main = sorted(t for t in valid if elements[t]["kind"] == 2)
-    if main:
-        return main, constants
-    # No article or main element: the innermost plain element whose subtree holds most of the slots' text.
-    plain = {t for t in valid if elements[t]["kind"] == 1}
-    fixed = {}
+            blobs = [numbered(r).tobytes() for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(blobs, types[1].type)], schema=types)
+
+    return saved(rows.groupBy("host").agg(F.collect_list("row").alias("rows")).mapInArrow(frugal(run), "host long, blob binary"))
+
+
+def numbered(rows: list[dict]) -> np.ndarray:
+    """(token, parent, kind, class, place in the class) of a host's frequent elements and class tokens."""
+    vectors: dict[tuple, list[dict]] = {}
     for r in rows:
-        if r["kind"] == 0:
-            fixed[r["parent"]] = fixed.get(r["parent"], 0) + r["chars"]
-    held = {t: 0 for t in plain}
-    inside = Counter(elements[t]["parent"] for t in plain)
-    ready = [t for t in plain if not inside[t]]
-    while ready:  # from the innermost outwards
-        t = ready.pop()
-        up = elements[t]["parent"]
-        held[t] += max(0, elements[t]["chars"] - fixed.get(t, 0))
-        if up in held:
-            held[up] += held[t]
-            inside[up] -= 1
-            if not inside[up]:
-                ready.append(up)
-    roots = [t for t in plain if elements[t]["parent"] not in plain]
-    if not roots or not (total := sum(held[t] for t in roots)):
-        return sorted(plain), constants
-    below: dict[int, list[int]] = {}
-    for t in plain:
-        below.setdefault(elements[t]["parent"], []).append(t)
-    at = max(sorted(roots), key=held.get)
-    while True:
-        inner = [t for t in sorted(below.get(at, ())) if held[t] > 0.8 * total and elements[t]["n"] == elements[t]["pages"]]
-        if not inner:
-            break
-        at = max(inner, key=held.get)
-    slots, more = set(), [at]
+        if r["size"] is not None:
+            vectors.setdefault((-r["pages"], -r["size"], r["high"], r["low"]), []).append(r)
+    out = [(r["token"], r["parent"], r["kind"], -1, 0) for r in rows if r["size"] is None]
+    for k, key in enumerate(sorted(vectors)):
+        members = sorted(vectors[key], key=lambda r: (r["place"], r["token"]))
+        out += [(r["token"], r["parent"], r["kind"], k, i) for i, r in enumerate(members)]
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
+class Known:
+    """What is known of hosts, read once each; the oldest goes when there are many."""
+
+    def __init__(self, read, most: int = 512):
+        self.read, self.most, self.held = read, most, {}
+
+    def __call__(self, host: int, blob: bytes | None):
+        if host not in self.held:
+            if len(self.held) >= self.most:
+                self.held.pop(next(iter(self.held)))
+            self.held[host] = self.read(blob)
+        return self.held[host]
+
+
+def longest_increase(values: list[int]) -> set[int]:
+    """The members of a longest increasing subsequence of distinct values."""
+    tails, places, before = [], [], []
+    for i, v in enumerate(values):
+        at = bisect_left(tails, v)
+        before.append(places[at - 1] if at else -1)
+        tails[at : at + 1], places[at : at + 1] = [v], [i]
+    kept, i = set(), places[-1] if places else -1
+    while i >= 0:
+        kept.add(values[i])
+        i = before[i]
+    return kept
+
+
+class Classes:
+    """A host's candidates as a page is held against them."""
+
+    def __init__(self, blob: bytes | None):
+        rows = np.frombuffer(blob or b"", np.int64).reshape(-1, 5).tolist()
+        self.of = {t: (c, i) for t, _, _, c, i in rows if c >= 0}
+        self.elements = frozenset(t for t, _, kind, _, _ in rows if kind != TEXT)
+
+
+#: What a page says of a class or token: it leaves its order; is not a row of tuples; lies in a gap of another; constants of all text; text of a slot.
+LEAVES, BROKEN, GAP, CONSTANT, SLOT = range(5)
+
+
+def verdicts(page: Page, marks: list[int], known: Classes) -> list[tuple[int, int, int, int, int]]:
+    """(what, key, other, a, b) that one page says of its host's classes."""
+    said, found = [], page.tokens(marks)
+    places: dict[int, list[tuple[int, int, int]]] = {}  # class -> (place, number in the class, token)
+    for at, (token, _, _) in enumerate(found):
+        if (member := known.of.get(token)) is not None:
+            places.setdefault(member[0], []).append((at, member[1], token))
+    positions: dict[int, list[int]] = {}  # of the classes that are rows of tuples
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for c in sorted(places):
+        first = list(dict.fromkeys(i for _, i, _ in places[c]))
+        kept = longest_increase(first)
+        said += [(LEAVES, t, 0, 1, 0) for t in {t for _, i, t in places[c] if i not in kept}]
+        row = [(at, i) for at, i, _ in places[c] if i in kept]
+        order, size = sorted(kept), len(kept)
+        if len(row) % size or any(i != order[k % size] for k, (_, i) in enumerate(row)):
+            said.append((BROKEN, c, 0, 1, 0))
+            continue
+        positions[c] = [at for at, _ in row]
+        spans[c] = [(row[k][0], row[k + size - 1][0]) for k in range(0, len(row), size)]
+    numbers = sorted(spans)
+    for b in numbers:
+        for a in numbers:
+            if a >= b:
+                break
+            gaps = {(bisect_left(positions[a], x), bisect_left(positions[a], y)) for x, y in spans[b]}
+            size = len(positions[a]) // len(spans[a])
+            if all(x == y for x, y in gaps) and len({x % size for x, _ in gaps}) == 1:
+                gap = next(iter(gaps))[0]
+                said.append((GAP, b, a, -1 if gap in (0, len(positions[a])) else gap % size, 0))
+            elif len({(bisect_left(positions[b], x), bisect_left(positions[b], y)) for x, y in spans[a]}) != 1 or any(bisect_left(positions[b], x) != bisect_left(positions[b], y) for x, y in spans[a]):
+                said.append((BROKEN, b, 0, 1, 0))
+    own = any(page.main)
+    total = sum(chars for _, path, chars in found if chars > 0 and (page.main[path] or not own))
+    constant: dict[int, int] = {}
+    slot: dict[int, int] = {}
+    anchors = page.anchors(marks, known.elements)
+    for token, path, chars in found:
+        if chars > 0 and (page.main[path] or not own):
+            if token in known.of:
+                c = known.of[token][0]
+                constant[c] = constant.get(c, 0) + chars
+            elif not own and anchors[path] >= 0:
+                t = marks[anchors[path]]
+                slot[t] = slot.get(t, 0) + chars
+    said += [(CONSTANT, c, 0, n, total) for c, n in constant.items()]
+    return said + [(SLOT, t, 0, n, 0) for t, n in slot.items()]
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """A row a host: (host, blob) with its template's main slots, elements and constants."""
+    found = candidates(pages)
+    schema = "host long, what int, key long, other long, a long, b long, low long, high long"
+    types = _arrow_schema(pages.sparkSession, schema)
+    met = _rows(pages).join(found.withColumnRenamed("host", "__host"), F.col("host") == F.col("__host")).select("host", "html", "blob")
+
+    def hold(batches):
+        known = Known(Classes)
+        for batch in small_batches(batches, "html"):
+            sums: dict[tuple, list[int]] = {}
+            for host, source, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                page = Page(source)
+                for what, key, other, a, b in verdicts(page, page.names(), known(host, blob)):
+                    one = sums.setdefault((host, what, key, other), [0, 0, a, a])
+                    one[0], one[1], one[2], one[3] = one[0] + a, one[1] + b, min(one[2], a), max(one[3], a)
+            rows = [(*k, *v) for k, v in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(types)], schema=types)
+
+    said = met.mapInArrow(frugal(hold), schema).groupBy("host", "what", "key", "other").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("low").alias("low"), F.max("high").alias("high"))
+    said = said.groupBy("host").agg(F.collect_list(F.struct("what", "key", "other", "a", "b", "low", "high")).alias("said"))
+    met = found.join(said.withColumnRenamed("host", "__host"), F.col("host") == F.col("__host"), "left").select("host", "blob", "said")
+    made_types = _arrow_schema(pages.sparkSession, "host long, blob binary")
+
+    def make(batches):
+        for batch in batches:
+            blobs = [packed(*deduce(np.frombuffer(blob, np.int64).reshape(-1, 5).tolist(), said or [])) for blob, said in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(blobs, made_types[1].type)], schema=made_types)
+
+    return saved(met.mapInArrow(frugal(make), "host long, blob binary"))
+
+
+def packed(*lists: list[int]) -> bytes:
+    return np.array([len(x) for x in lists] + [v for x in lists for v in x], np.int64).tobytes()
+
+
+def unpacked(blob: bytes | None) -> tuple[frozenset, ...]:
+    """Main slots, plain slots, elements and constants."""
+    if blob is None:
+        return (frozenset(),) * 4
+    values = np.frombuffer(blob, np.int64).tolist()
+    out, at = [], 4
+    for n in values[:4]:
+        out.append(frozenset(values[at : at + n]))
+        at += n
+    return tuple(out)
+
+
+def deduce(rows: list[list[int]], said: list[dict]) -> tuple[list[int], ...]:
+    """(main slots, plain slots, elements, constants) of one host, from its candidates and what its pages say of them."""
+    leaves = {r["key"] for r in said if r["what"] == LEAVES}
+    broken = {r["key"] for r in said if r["what"] == BROKEN or r["what"] == GAP and r["low"] != r["high"]}
+    copies = {r["key"] for r in said if r["what"] == CONSTANT and r["a"] > MOST_CONSTANT * r["b"]}
+    parent = {t: p for t, p, kind, _, _ in rows if kind != TEXT}
+    members: dict[int, list[tuple[int, int]]] = {}
+    for t, _, kind, c, _ in rows:
+        if c >= 0 and c not in broken and t not in leaves:
+            members.setdefault(c, []).append((t, kind))
+    valid = {c: m for c, m in members.items() if len(m) >= LEAST_TOKENS and any(kind != TEXT for _, kind in m)}
+    kinds = {t: kind for m in valid.values() for t, kind in m if kind != TEXT}
+    constants = sorted(t for c, m in valid.items() if c not in copies for t, kind in m if kind == TEXT)
+    main = sorted(t for t, kind in kinds.items() if kind == MAIN)
+    plain = {t for t, kind in kinds.items() if kind == PLAIN}
+    text = {t: 0 for t in plain}
+    for r in said:
+        if r["what"] == SLOT and (t := nearest(r["key"], parent, plain)) is not None:
+            text[t] += r["a"]
+    up = {t: nearest(parent[t], parent, plain) for t in plain}
+    return main, sorted(innermost(text, up)), sorted(kinds), constants
+
+
+def nearest(token: int, parent: dict[int, int], among) -> int | None:
+    """The token or the nearest element around it that is one of those."""
+    while token not in among:
+        if token not in parent:
+            return None
+        token = parent[token]
+    return token
+
+
+def innermost(text: dict[int, int], up: dict[int, int | None]) -> set[int]:
+    """The innermost element that holds over four fifths of the text, with all elements inside it."""
+    held, below = dict(text), {}
+    for t, u in up.items():
+        below.setdefault(u, []).append(t)
+    order, more = [], sorted(below.get(None, ()))
+    while more:
+        t = more.pop()
+        order.append(t)
+        more += below.get(t, ())
+    for t in reversed(order):
+        if up[t] is not None:
+            held[up[t]] += held[t]
+    total, at = sum(held[t] for t in below.get(None, ())), None
+    while total and (inner := [t for t in sorted(below.get(at, ())) if held[t] > 0.8 * total]):
+        at = inner[0]
+    if at is None:
+        return set(text)
+    inside, more = set(), [at]
     while more:
         t = more.pop()
-        slots.add(t)
+        inside.add(t)
         more += below.get(t, ())
-    return sorted(slots), constants
+    return inside
 
 
-def main_text(page: Page, slots: frozenset | None, constants: frozenset) -> str:
-    """What a page's main slots hold; elements that the template lacks follow the one they stand in."""
-    marks, n = page.names(), len(page.parents)
-    inside = [False] * n
-    for k in range(1, n):
-        inside[k] = slots is not None and (marks[k] in slots or inside[page.parents[k]])
-    own = any(page.main)
-    if own:  # content elements: the template's, and those that only this page has
-        inside = [page.main[k] and (inside[k] or slots is None or marks[k] not in slots) for k in range(n)]
-    elif not any(inside):
-        inside = [True] * n
+def main_text(page: Page, main: frozenset = frozenset(), plain: frozenset = frozenset(), elements: frozenset = frozenset(), constants: frozenset = frozenset()) -> str:
+    """What a page's main slots hold; elements that the template lacks belong to the slot they stand in."""
+    marks = page.names()
+    page.confirm(elements, marks)
+    slots = main if not main.isdisjoint(marks) else plain
+    if slots.isdisjoint(marks):
+        own = any(page.main)
+        inside = [m or not own for m in page.main]
+    else:
+        inside = [k >= 0 and marks[k] in slots for k in page.anchors(marks, elements)]
 
     def keep(text, path):
-        return inside[path] and not page.out[path] and (own or not constants or mark(f"{marks[path]}|{' '.join(text.split())}") not in constants)
+        return inside[path] and not page.out[path] and not (constants and mark(f"{marks[path]}|{' '.join(text.split())}") in constants)
 
     return page.text(keep)
 
@@ -350,15 +595,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     schema = "page_id long, url string, text string, n_chars long"
     types = _arrow_schema(pages.sparkSession, schema)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     found = templates(pages).withColumnRenamed("host", "__host")
-    met = rows.withColumn("__h", host_of(F.col("url"))).join(found, F.col("__h") == F.col("__host"), "left").select("page_id", "url", "html", "slots", "constants")
+    met = _rows(pages).join(found, F.col("host") == F.col("__host"), "left").select("page_id", "url", "html", "host", "blob")
 
     def run(batches):
+        known = Known(unpacked)
         for batch in small_batches(batches, "html"):
-            texts = []
-            for source, slots, constants in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                texts.append(main_text(Page(source), None if slots is None else frozenset(slots), frozenset(constants or ())))
+            texts = [main_text(Page(source), *known(host, blob)) for source, host, blob in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=types)
 
     return met.mapInArrow(frugal(run), schema)

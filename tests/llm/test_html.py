@@ -45,17 +45,89 @@ def test_template_without_article(spark):
     assert found == {i: " ".join(re.sub(r"<[^>]*>", " ", b).split()) for i, b in enumerate(bodies)}
 
 
-def test_classes_are_token_sets_with_equal_vectors(spark):
-    rows = [(i, "https://c.example/", f"<div><p>a</p>{'<ul><li>1<li>2</ul>' * (i % 3)}</div>") for i in range(9)]
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    from pyspark.sql import functions as F
+WORDS = "amber birch cedar delta ember frost grove heron iris jade".split()
 
-    vector = F.xxhash64("page", "n")
-    got = html.tokens(frame).filter("kind = 1").groupBy("token").agg(F.sum(F.shiftright(vector, 32)).alias("v"), F.count("*").alias("pages"), F.sum("n").alias("n")).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r.v, set()).add((r.pages, r.n))
-    assert sorted(len(x) for x in by.values()) == [1, 1, 1] and sorted(next(iter(x)) for x in by.values()) == [(6, 9), (6, 18), (9, 9)]
+
+def story(i, n=40):
+    return " ".join(f"{WORDS[(i * 7 + j * 3) % 10]}{i}x{j}" for j in range(n))
+
+
+def layout(i, notice="<p>Read our house rules</p>", at=0):
+    body = [f"<p>{story(i)}</p>", f"<h2>part {i}</h2>", f"<p>{story(i + 500)}</p>"]
+    body.insert(at, notice)
+    return f"<html><body><div class=top><p>Our site</p></div><article><h1>title {i}</h1>{''.join(body)}</article><div class=low><span>All rights kept</span></div></body></html>"
+
+
+def texts_of(spark, sources, url="https://d.example/x"):
+    rows = [(i, url, h) for i, h in enumerate(sources)]
+    found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_constants_of_a_valid_class_go_from_articles(spark):
+    plain = lambda i: f"title {i} {story(i)} part {i} {story(i + 500)}"
+    assert texts_of(spark, [layout(i) for i in range(8)]) == [plain(i) for i in range(8)]
+    # Another vector: a text that only some pages of the layout hold is no token of its class.
+    some = texts_of(spark, [layout(i, "<p>Read our house rules</p>" if i % 2 else "") for i in range(8)])
+    assert all(("house rules" in t) == bool(i % 2) for i, t in enumerate(some))
+    # Too few pages for a class.
+    assert all("house rules" in t for t in texts_of(spark, [layout(i) for i in range(2)]))
+
+
+def test_a_token_out_of_order_is_no_template(spark):
+    rules = "<p>Read our house rules</p>"
+
+    def page(i, moved):
+        body = f"<h2>part {i}</h2><p>{story(i)}</p><h3>also {i}</h3>"
+        return f"<body><article>{body + rules if moved else rules + body}</article><footer>foot</footer></body>"
+
+    want = [f"part {i} {story(i)} also {i}" for i in range(12)]
+    assert texts_of(spark, [page(i, False) for i in range(12)]) == want
+    # On two pages it stands behind both headings, so it is no token of their class.
+    found = texts_of(spark, [page(i, i > 9) for i in range(12)])
+    assert found == [f"{w} Read our house rules" if i > 9 else f"Read our house rules {w}" for i, w in enumerate(want)]
+
+
+def test_copies_are_no_layout(spark):
+    copied = texts_of(spark, [layout(1).replace("Our site", f"Our site {i}") for i in range(6)] + [layout(i) for i in range(20, 22)])
+    assert all(story(1) in t and story(501) in t for t in copied[:6])
+    passage = "<p>" + story(77, 60) + "</p>"  # repeated on many pages, but text alone is no class
+    shared = texts_of(spark, [layout(i, passage if i % 3 else "<p></p>") for i in range(9)])
+    assert all((story(77, 60) in t) == bool(i % 3) for i, t in enumerate(shared))
+
+
+def test_two_layouts_of_one_host(spark):
+    other_layout = lambda i: f"<html><body><table><tr><td>Menu one<td>Menu two</table><div class=box><div class=story><p>{story(i)}</p><p>end {i}</p></div></div><div class=tail><em>Imprint here</em><p>see also {i}</p></div></body></html>"
+    found = texts_of(spark, [layout(i) for i in range(30)] + [other_layout(100 + i) for i in range(4)])
+    assert found[:30] == [f"title {i} {story(i)} part {i} {story(i + 500)}" for i in range(30)]
+    assert found[30:] == [f"{story(100 + i)} end {100 + i}" for i in range(4)]
+
+
+def test_names_yield_to_the_template(spark):
+    page = lambda i, name: f"<body><section id='comment-on-method'><article><p>{story(i)}</p><div class='{name}'><b>x</b><p>earlier {i}</p></div></article></section></body>"
+    assert texts_of(spark, [page(1, "related-work")]) == [f"{story(1)} x earlier 1"]
+    assert texts_of(spark, [page(1, "related")]) == [story(1)]
+    assert texts_of(spark, [page(i, "related-box") for i in range(6)]) == [story(i) for i in range(6)]  # on every page: the template's
+    form = f"<body><form><div class=sidebar><article>teaser</article></div><article>{story(3)}</article></form></body>"
+    assert texts_of(spark, [form]) == ["teaser " + story(3)]  # all main elements are in the form: it is spared, and the names with it
+
+
+def test_vectors_orders_and_gaps_make_the_template():
+    element = lambda t, parent, kind, c, i: [t, parent, kind, c, i]
+    rows = [element(1, 0, html.PLAIN, 0, 0), element(2, 1, html.MAIN, 0, 1), element(3, 2, html.TEXT, 0, 2), element(4, 1, html.PLAIN, 0, 3), element(7, 1, html.PLAIN, 1, 0), element(8, 7, html.TEXT, 1, 1), element(9, 7, html.TEXT, 1, 2)]
+    assert html.deduce(rows, []) == ([2], [1, 4, 7], [1, 2, 4, 7], [3, 8, 9])
+    said = lambda what, key, a=1, b=0, low=0, high=0: {"what": what, "key": key, "other": 0, "a": a, "b": b, "low": low, "high": high}
+    assert html.deduce(rows, [said(html.LEAVES, 3)]) == ([2], [1, 4, 7], [1, 2, 4, 7], [8, 9])
+    assert html.deduce(rows, [said(html.BROKEN, 1)]) == ([2], [1, 4], [1, 2, 4], [3])
+    assert html.deduce(rows, [said(html.GAP, 1, low=0, high=2)]) == ([2], [1, 4], [1, 2, 4], [3])
+    assert html.deduce(rows, [said(html.CONSTANT, 1, 30, 100)]) == ([2], [1, 4, 7], [1, 2, 4, 7], [3])
+    assert html.deduce(rows, [said(html.LEAVES, 1), said(html.LEAVES, 2)])[0] == []
+    assert html.deduce(rows, [said(html.SLOT, 4, 90), said(html.SLOT, 7, 10)])[1] == [4]
+
+
+def test_order_is_a_longest_increase():
+    assert html.longest_increase([0, 1, 5, 2, 3, 4]) == {0, 1, 2, 3, 4}
+    assert html.longest_increase([]) == set()
 
 
 def test_odd_rows(spark):
@@ -72,13 +144,13 @@ def test_odd_rows(spark):
 def test_any_depth_closes():
     for n in (260, 5000):
         page = html.Page(f"<article>start{'<font>' * n}deep<nav>menu</nav></article><footer>foot</footer><script>s()</script><div class=comments>said</div>")
-        assert html.main_text(page, None, frozenset()) == "startdeep"
+        assert html.main_text(page) == "startdeep"
         under = html.Page(f"<article>{'<div>' * n}in<aside>beside</aside>{'</div>' * n}after</article>out")
-        assert html.main_text(under, None, frozenset()) == "in after"
+        assert html.main_text(under) == "in after"
     assert html.Page("<p>a" + "<b>" * 20 + "<div>c").parents == html.Page("<p>a" + "<b>" * 20 + "</p><div>c").parents
 
 
 def test_deep_template_in_linear_time():
     n = 20_000
-    rows = [{"token": k, "parent": k - 1, "kind": 1, "vector": "v", "pages": 2, "of": 2, "n": 2, "chars": 100 * (k == n)} for k in range(1, n + 1)]
-    assert html.deduce(rows) == ([n], [])
+    rows = [[k, k - 1, html.PLAIN, 0, k] for k in range(1, n + 1)]
+    assert html.deduce(rows, [{"what": html.SLOT, "key": n, "other": 0, "a": 100, "b": 0, "low": 0, "high": 0}])[1] == [n]
