@@ -3,25 +3,37 @@
 The content view sees only the text: shares of hashed words and measures of
 its style.  The metadata view sees only lang, source and n_chars.  Each is a
 logistic regression.  Starting from the labelled rows, in each of ROUNDS
-rounds each view scores a pool of unlabelled documents and hands its most
-confident ones, with the labels it gives them, to the other view's training
+rounds each view scores all unlabelled documents that are still free and hands
+its most confident ones, a CONFIDENT share of all unlabelled documents in the
+labels' proportion, with the labels it gives them to the other view's training
 set.  Both views are then calibrated (Platt) on labelled rows kept out of
 training, combined by a logistic regression on the calibrated log-odds of the
 same rows, and all documents are scored.
 
-Fitting uses bounded samples, chosen by a hash of the id: at most about
-LABELLED_ROWS labelled and POOL_ROWS unlabelled documents.  Scoring covers
-every document, whole texts included.
+Features are made once for every document, from its whole text, and written to
+the shared folder.  Each round is two passes over them: a histogram of the
+free documents' log-odds, in BINS of fixed width, gives the thresholds beyond
+which the share lies (documents in a threshold's bin are all taken, only below
+0 or above it); then the documents beyond them are taken.  Whether a document
+was taken before follows from the models and thresholds of earlier rounds, so
+nothing is kept for a document.
+
+Fitting uses bounded samples of labelled rows, chosen by a hash: at most about
+LABELLED_ROWS labelled ones, and of each round's newly labelled ones at most
+about PSEUDO_ROWS a view.  Which documents are confident, and all scores,
+cover every document.
 
 Cases: null or empty texts have zero content features; null metadata has
 features of its own.  Of several labels of a document the highest counts;
-null labels and labels without documents are ignored.  With labels of one
-kind only, the score is that kind's share (1 without labels).  Repeated rows
-are scored each.  Empty tables give empty results; other columns are ignored.
+null labels and labels without documents are ignored; documents without an id
+have no label.  With labels of one kind only, the score is the share of good
+ones among the labelled documents (1 without any).  Repeated rows count and are
+scored each.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -30,11 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _arrow_schema, frugal, small_batches
+from quire.llm.common import _arrow_schema, checkpointed, frugal, small_batches
 
 LABELLED_ROWS = 20_000
-POOL_ROWS = 20_000
-ROUNDS = 4
+PSEUDO_ROWS = 2_000
+ROUNDS = 3
+BINS = 64  # a unit of log-odds
 CONFIDENT = 0.02
 WORD_BINS = 192
 SOURCE_BINS = 64
@@ -123,32 +136,48 @@ class Logistic:
         return np.clip((x.astype(np.float64) - self.mean) / self.scale @ self.w[:-1] + self.w[-1], -30, 30)
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS, confident: float = CONFIDENT) -> list[Logistic]:
-    """The two views' models after exchanging confident pseudo-labels over the pool."""
-    sets = [(views[v], y.astype(float)) for v in (0, 1)]
-    free = np.ones(len(pools[0]), bool)
-    models = [Logistic().fit(*s) for s in sets]
-    share = y.mean()
-    for _ in range(rounds):
-        at = np.flatnonzero(free)
-        k = int(confident * len(pools[0]))
-        if len(at) < 4 or not k:
+class Round:
+    """The models of a round and, for each view, the log-odds up to which and from which on its documents are taken."""
+
+    def __init__(self, models: list[Logistic], low: list[float], high: list[float]):
+        self.models, self.low, self.high = models, low, high
+
+    def taken(self, views: list[np.ndarray]) -> list[np.ndarray]:
+        """For each view, its labels of the documents it takes: 0, 1, or -1 for the others."""
+        out = []
+        for m, x, low, high in zip(self.models, views, self.low, self.high):
+            at = binned(m.logits(x))
+            out.append(np.where(at <= low, 0, np.where(at >= high, 1, -1)))
+        return out
+
+
+def binned(logits: np.ndarray) -> np.ndarray:
+    return np.floor(logits * BINS).astype(np.int64)
+
+
+def free(views: list[np.ndarray], rounds: list[Round]) -> np.ndarray:
+    """Whether no round has taken a document."""
+    out = np.ones(len(views[0]), bool)
+    for r in rounds:
+        for labels in r.taken(views):
+            out &= labels < 0
+    return out
+
+
+def thresholds(histogram: dict[int, int], n_low: int, n_high: int) -> tuple[float, float]:
+    """The bins up to which n_low documents lie and from which on n_high do; only bins below 0 and above it."""
+    low, high = -math.inf, math.inf
+    total = 0
+    for k in sorted(k for k in histogram if k < 0):
+        if total >= n_low:
             break
-        taken = []
-        for v in (0, 1):
-            scores = models[v].logits(pools[v][at])
-            order = np.argsort(scores, kind="stable")
-            n_low = max(1, round(k * (1 - share)))
-            low, high = order[:n_low], order[::-1][: max(1, k - n_low)]
-            low, high = low[scores[low] < 0], high[scores[high] > 0]
-            chosen = at[np.concatenate([low, high])]
-            labels = np.concatenate([np.zeros(len(low)), np.ones(len(high))])
-            other = 1 - v
-            sets[other] = (np.concatenate([sets[other][0], pools[other][chosen]]), np.concatenate([sets[other][1], labels]))
-            taken.append(chosen)
-        free[np.concatenate(taken)] = False
-        models = [Logistic().fit(*s) for s in sets]
-    return models
+        low, total = k, total + histogram[k]
+    total = 0
+    for k in sorted((k for k in histogram if k >= 0), reverse=True):
+        if total >= n_high:
+            break
+        high, total = k, total + histogram[k]
+    return low, high
 
 
 class Model:
@@ -165,68 +194,151 @@ class Model:
         return tuple(1 / (1 + np.exp(-z)) for z in (both, *logits))
 
 
-def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+FEATURES = "id long, lang string, source string, n_chars long, part long, x binary"
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """FEATURES of every row: the content view as half-precision numbers, the metadata, and a hash that samples rows."""
     has = lambda c, t: (F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), has("lang", "string"), has("source", "string"), has("n_chars", "long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), has("lang", "string"), has("source", "string"), has("n_chars", "long"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("id", "lang", "source", "n_chars", F.xxhash64("id", "text", F.lit(8)).alias("part"), "text")
+    types = _arrow_schema(docs.sparkSession, FEATURES)
 
+    def run(batches):
+        memo: dict = {}
+        for batch in small_batches(batches, "text"):
+            x = [content(t, memo).astype(np.float16).tobytes() for t in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns[:5], types)), pa.array(x, types[5].type)], schema=types)
 
-def _views(memo, texts, langs, sources, sizes) -> list[np.ndarray]:
-    return [np.array([content(t, memo) for t in texts]).reshape(len(texts), -1), np.array([metadata(*m) for m in zip(langs, sources, sizes)]).reshape(len(texts), -1)]
+    return rows.mapInArrow(frugal(run), FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def views_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Both views of rows with the columns lang, source, n_chars and x."""
+    langs, sources, sizes, x = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "source", "n_chars", "x"))
+    text = np.frombuffer(b"".join(x), np.float16).reshape(len(x), 12 + WORD_BINS).astype(np.float32)
+    return [text, np.array([metadata(*m) for m in zip(langs, sources, sizes)], np.float32).reshape(len(x), -1)]
+
+
+def labelled(made: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Features with quality (null: unlabelled) and held (kept out of training), written once.  Rows without an id are dealt out evenly."""
     named = labels.select(F.col(id_col).cast("long").alias("__id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("__id").agg(F.max("quality").alias("quality"))
-    n_labels, n_good = named.agg(F.count("*"), F.sum((F.col("quality") > 0).cast("long"))).head()
-    n_docs = docs.count()
+    salt = F.when(F.col("id").isNull(), F.pmod("part", F.lit(1024))).otherwise(0).cast("int")
+    met = made.withColumn("__salt", salt).join(named.withColumn("__none", F.lit(0)), (F.col("id") == F.col("__id")) & (F.col("__salt") == F.col("__none")), "left")
+    held = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(3)) == 0
+    return checkpointed(met.select("id", "lang", "source", "n_chars", "part", "x", "quality", held.alias("held")))
+
+
+def _sampled(rows: DataFrame, most: int, n: int) -> DataFrame:
     parts = 1 << 30
-    rate = {k: min(1.0, most / max(1, n)) * parts for k, most, n in (("labelled", LABELLED_ROWS, n_labels), ("pool", POOL_ROWS, n_docs))}
-    part = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(parts))
-    rows = _columns(docs, id_col, text_col).filter((part < int(max(rate.values()))) & F.col("id").isNotNull())
-    met = rows.join(named.hint("shuffle_hash"), rows.id == named["__id"], "left").withColumn("part", part)
-    met = met.filter(F.when(F.col("quality").isNull(), F.col("part") < int(rate["pool"])).otherwise(F.col("part") < int(rate["labelled"])))
-    met = met.withColumn("held", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(3)) == 0).select("text", "lang", "source", "n_chars", "quality", "held")
-    schema = "quality int, held boolean, x binary, z binary"
-    types = _arrow_schema(docs.sparkSession, schema)
+    return rows.filter(F.pmod("part", F.lit(parts)) < int(min(1.0, most / max(1, n)) * parts))
+
+
+def _collected(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Views, answers y and marks of a bounded sample, in the order of its hash, so that a fit is repeatable."""
+    got = rows.select("lang", "source", "n_chars", "x", "part", F.col("y").cast("int"), F.col("mark").cast("int")).toArrow()
+    order = np.lexsort([got[c].to_numpy() for c in ("y", "mark", "part")])
+    batches = got.take(pa.array(order)).combine_chunks().to_batches()
+    views = [views_of(b) for b in batches] or [[np.zeros((0, 12 + WORD_BINS), np.float32), np.zeros((0, LANG_BINS + SOURCE_BINS + 20), np.float32)]]
+    return [np.concatenate([v[k] for v in views]) for k in (0, 1)], got["y"].to_numpy()[order], got["mark"].to_numpy()[order]
+
+
+def _histograms(pool: DataFrame, rounds: list[Round], models: list[Logistic]) -> list[dict[int, int]]:
+    """For each view, the bins of the free documents' log-odds; as many rows as there are bins."""
+    schema = "view int, bin long, n long"
+    types = _arrow_schema(pool.sparkSession, schema)
 
     def run(batches):
-        memo: dict = {}
-        for batch in small_batches(batches, "text"):
-            x, z = _views(memo, *(batch.column(i).to_pylist() for i in range(4)))
-            yield pa.RecordBatch.from_arrays([batch.column(4).cast(pa.int32()), batch.column(5), pa.array([v.tobytes() for v in x], types[2].type), pa.array([v.tobytes() for v in z], types[3].type)], schema=types)
-
-    got = met.mapInArrow(frugal(run), schema).toArrow()
-    if not got.num_rows:
-        return Model(constant=(n_good or 0) / n_labels if n_labels else 1.0)
-    read = lambda c: np.stack([np.frombuffer(b, np.float32) for b in got[c].to_pylist()])
-    x, z = read("x"), read("z")
-    quality = np.array([-1 if q is None else int(q > 0) for q in got["quality"].to_pylist()])
-    held = got["held"].to_numpy(zero_copy_only=False).astype(bool) & (quality >= 0)
-    # The rows arrive in no fixed order; sorting them makes the fit repeatable.
-    order = np.lexsort((x.sum(1), z.sum(1), quality))
-    x, z, quality, held = x[order], z[order], quality[order], held[order]
-    fit, pool = (quality >= 0) & ~held, quality < 0
-    if any(len(np.unique(quality[s])) < 2 for s in (fit, held)):
-        return Model(constant=(n_good or 0) / n_labels if n_labels else 1.0)
-    models = co_train([x[fit], z[fit]], quality[fit], [x[pool], z[pool]])
-    y = quality[held].astype(float)
-    calibrations = [Logistic().fit(m.logits(v[held])[:, None], y) for m, v in zip(models, (x, z))]
-    logits = np.stack([c.logits(m.logits(v[held])[:, None]) for m, c, v in zip(models, calibrations, (x, z))], axis=1)
-    return Model(models, calibrations, Logistic().fit(logits, y))
+        counts: dict[tuple[int, int], int] = {}
+        for batch in small_batches(batches, "x"):
+            views = views_of(batch)
+            some = free(views, rounds)
+            for v in (0, 1):
+                for k, n in zip(*(a.tolist() for a in np.unique(binned(models[v].logits(views[v][some])), return_counts=True))):
+                    counts[v, k] = counts.get((v, k), 0) + n
+        rows = [(v, k, n) for (v, k), n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(types)], schema=types)
+
+    out: list[dict[int, int]] = [{}, {}]
+    for r in pool.select("lang", "source", "n_chars", "x").mapInArrow(frugal(run), schema).groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
+        out[r.view][r.bin] = r.n
+    return out
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, content_score, metadata_score) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _taken(pool: DataFrame, rounds: list[Round], now: Round) -> DataFrame:
+    """The free documents that a round takes: a row for each view that does (the mark), with its label y."""
+    schema = "lang string, source string, n_chars long, part long, x binary, mark int, y int"
+    types = _arrow_schema(pool.sparkSession, schema)
+
+    def run(batches):
+        for batch in small_batches(batches, "x"):
+            views = views_of(batch)
+            some = free(views, rounds)
+            for v, labels in enumerate(now.taken(views)):
+                at = np.flatnonzero(some & (labels >= 0))
+                few = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(few.columns, types)), pa.array(np.full(len(at), v, np.int32)), pa.array(labels[at].astype(np.int32))], schema=types)
+
+    return pool.select("lang", "source", "n_chars", "part", "x").mapInArrow(frugal(run), schema)
+
+
+def train_on(rows: DataFrame) -> Model:
+    """The model of labelled()'s rows."""
+    n = rows.agg(F.count("quality").alias("labelled"), F.count_if(F.col("quality") > 0).alias("good"), F.count_if(F.col("quality").isNull()).alias("pool")).head()
+    known = rows.filter("quality IS NOT NULL").withColumn("y", (F.col("quality") > 0).cast("int")).withColumn("mark", F.col("held"))
+    views, y, held = _collected(_sampled(known, LABELLED_ROWS, n.labelled))
+    held = held > 0
+    if any(len(np.unique(y[s])) < 2 for s in (held, ~held)):
+        return Model(constant=n.good / n.labelled if n.labelled else 1.0)
+    pool = rows.filter("quality IS NULL")
+    sets = [([views[v][~held]], [y[~held]]) for v in (0, 1)]
+    fit = lambda: [Logistic().fit(np.concatenate(x), np.concatenate(t)) for x, t in sets]
+    models, share, rounds = fit(), y[~held].mean(), []
+    k = int(CONFIDENT * n.pool)
+    n_low = max(1, round(k * (1 - share)))
+    for _ in range(ROUNDS if k else 0):
+        found = [thresholds(h, n_low, max(1, k - n_low)) for h in _histograms(pool, rounds, models)]
+        now = Round(models, *(list(x) for x in zip(*found)))
+        more, given, by = _collected(_sampled(_taken(pool, rounds, now), PSEUDO_ROWS, k))
+        for v in (0, 1):
+            sets[1 - v][0].append(more[1 - v][by == v])
+            sets[1 - v][1].append(given[by == v])
+        rounds.append(now)
+        models = fit()
+    target = y[held].astype(float)
+    own = [v[held] for v in views]
+    calibrations = [Logistic().fit(m.logits(v)[:, None], target) for m, v in zip(models, own)]
+    logits = np.stack([c.logits(m.logits(v)[:, None]) for m, c, v in zip(models, calibrations, own)], axis=1)
+    return Model(models, calibrations, Logistic().fit(logits, target))
+
+
+def score_of(made: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """(id, score, content_score, metadata_score) of rows of features."""
+    shared = made.sparkSession.sparkContext.broadcast(model)
     schema = f"{id_col} long, score double, content_score double, metadata_score double"
-    types = _arrow_schema(docs.sparkSession, schema)
+    types = _arrow_schema(made.sparkSession, schema)
 
     def run(batches):
-        memo: dict = {}
-        for batch in small_batches(batches, "text"):
-            scores = shared.value.scores(_views(memo, *(batch.column(i).to_pylist() for i in range(1, 5))))
+        for batch in small_batches(batches, "x"):
+            scores = shared.value.scores(views_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(s) for s in scores)], schema=types)
 
-    return _columns(docs, id_col, text_col).mapInArrow(frugal(run), schema)
+    return made.select("id", "lang", "source", "n_chars", "x").mapInArrow(frugal(run), schema)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    return train_on(labelled(features(docs, id_col, text_col), labels, id_col))
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, content_score, metadata_score) of every row."""
+    return score_of(features(docs, id_col, text_col), model, id_col)
+
+
+def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score() by train() on the same documents, whose features are made once."""
+    rows = labelled(features(docs, id_col, text_col), labels, id_col)
+    return score_of(rows, train_on(rows), id_col)
 
 
 def digest(scored: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -35,8 +35,7 @@ def op7_pii(spark, sf_dir):
 
 
 def op8_quality_classifier(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return cotrain.digest(cotrain.score(docs, cotrain.train(docs, table(spark, sf_dir, "labels"))))
+    return cotrain.digest(cotrain.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op9_toxicity(spark, sf_dir):

@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.llm import cotrain
 
@@ -33,14 +35,57 @@ def test_scores_all_and_agrees_with_labels(spark):
     assert right >= max(views) - 0.02
 
 
-def test_pseudo_labels_reach_the_other_view():
-    pick = np.random.default_rng(1)
-    y = np.repeat([0, 1], 300)
-    x = np.stack([y + pick.normal(0, 0.2, 600)], axis=1)
-    z = np.stack([y + pick.normal(0, 0.2, 600)], axis=1)
-    some = np.array([0, 1, 300, 301])
-    models = cotrain.co_train([x[some], z[some]], y[some], [x, z], rounds=5, confident=0.1)
-    assert all(np.mean((m.logits(v) > 0) == y) > 0.95 for m, v in zip(models, (x, z)))
+def brute(docs, labels, held):
+    """Co-training over plain arrays: ids, and scores of all documents."""
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    x = [np.array([cotrain.content(r.text, {}) for r in rows]).astype(np.float16).astype(np.float32), np.array([cotrain.metadata(r.lang, r.source, r.n_chars) for r in rows])]
+    y = np.array([quality.get(r.doc_id, -1) for r in rows])
+    out = np.array([held[r.doc_id] for r in rows])
+    fit, unlabelled = (y >= 0) & ~out, y < 0
+    train = [[(x[v][fit], y[fit])] for v in (0, 1)]
+    models = lambda: [cotrain.Logistic().fit(np.concatenate([a for a, _ in t]), np.concatenate([b for _, b in t])) for t in train]
+    now, free, k = models(), unlabelled.copy(), int(cotrain.CONFIDENT * unlabelled.sum())
+    n_low = max(1, round(k * (1 - y[fit].mean())))
+    for _ in range(cotrain.ROUNDS):
+        takes = []
+        for v in (0, 1):
+            cell = np.floor(now[v].logits(x[v]) * cotrain.BINS)
+            below, above = np.sort(cell[free & (cell < 0)]), np.sort(cell[free & (cell >= 0)])[::-1]
+            low = below[min(n_low, len(below)) - 1] if len(below) else -np.inf
+            high = above[min(max(1, k - n_low), len(above)) - 1] if len(above) else np.inf
+            takes.append((free & (cell <= low), free & (cell >= high)))
+        for v, (zeros, ones) in enumerate(takes):
+            train[1 - v].append((x[1 - v][zeros | ones], ones[zeros | ones].astype(int)))
+            free &= ~(zeros | ones)
+        now = models()
+    target = y[(y >= 0) & out]
+    z = [m.logits(v)[:, None] for m, v in zip(now, x)]
+    z = np.stack([cotrain.Logistic().fit(a[(y >= 0) & out], target).logits(a) for a in z], axis=1)
+    return 1 / (1 + np.exp(-cotrain.Logistic().fit(z[(y >= 0) & out], target).logits(z)))
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cotrain, "CONFIDENT", 0.05)
+    docs, labels = corpus(spark)
+    labels = labels.unionByName(labels.select((F.col("doc_id") + 5000).alias("doc_id"), "quality"))  # labels without documents
+    rows = cotrain.labelled(cotrain.features(docs), labels)
+    held = {r.id: r.held for r in rows.select("id", "held").collect()}
+    got = {r.doc_id: r.score for r in cotrain.classified(docs.repartition(5), labels).collect()}
+    assert np.allclose([got[i] for i in sorted(got)], brute(docs, labels, held), atol=1e-5)
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = corpus(spark)
+    few = labels.filter("doc_id % 2 = 0")
+    got = {r.doc_id: r.predicted for r in cotrain.digest(cotrain.classified(docs, few)).collect()}
+    rest = labels.filter("doc_id % 2 = 1").collect()
+    assert np.mean([got[r.doc_id] == r.quality for r in rest]) >= 0.85
+
+
+def test_thresholds_take_whole_bins_on_their_own_side():
+    assert cotrain.thresholds({-9: 3, -5: 4, 2: 5, 8: 1}, 4, 1) == (-5, 8)
+    assert cotrain.thresholds({-1: 2}, 5, 5) == (-1, math.inf) and cotrain.thresholds({}, 1, 1) == (-math.inf, math.inf)
 
 
 def test_odd_rows(spark):
@@ -52,6 +97,8 @@ def test_odd_rows(spark):
     assert cotrain.train(docs, labels.limit(0)).constant == 1.0 and cotrain.train(docs.limit(0), labels).constant is not None
     assert cotrain.train(docs, labels.filter("quality = 1")).constant == 1.0
     assert cotrain.score(docs.limit(0), model).count() == 0
+    nameless = spark.createDataFrame([(None, "a", None, None, None)] * 3 + [(1, None, "en", "s", -5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert cotrain.classified(nameless, labels).count() == 4
 
 
 def test_full_memo_loses_no_words():
