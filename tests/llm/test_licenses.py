@@ -1,3 +1,4 @@
+import random
 import re
 
 from quire.llm import licenses
@@ -39,3 +40,31 @@ def test_the_method_adds_labels(spark):
 
 def test_empty(spark):
     assert licenses.scan(documents(spark, TEXTS).limit(0)).count() == 0
+
+
+def test_notices_with_two_fifths_of_their_words_changed_are_found():
+    pick, index = random.Random(5), licenses.Index({b"": 1000, **{w: 5 + len(w) for w in licenses.vocabulary()}})
+    for label, words, keys, is_base in licenses.templates():
+        if is_base:
+            continue
+        kept = {i + j for key in keys for i in range(len(words)) if words[i : i + len(key)] == key for j in range(len(key))}
+        rarest = sorted(set(range(len(words))) - kept, key=lambda k: -index.idf[words[k]])
+        most = int(len(words) * (1 - licenses.LEAST_COVERAGE))
+        for turn in range(20):
+            changed = rarest[:most] if not turn else pick.sample(rarest, min(most, len(rarest)))
+            text = [b"w%d" % pick.randrange(10**6) if k in changed else w for k, w in enumerate(words)]
+            before = [b"x%d" % i for i in range(pick.randrange(30))]
+            assert label in index.scan([*before, *text, b"end"])[1], (label, changed)
+        many = [b"w%d" % k if k not in kept and k % 10 else w for k, w in enumerate(words)]
+        if sum(a == b for a, b in zip(many, words)) < 0.4 * len(words):
+            assert index.scan(many)[1].get(label, 0) < licenses.LEAST_COVERAGE
+
+
+def test_a_changed_rare_word_and_inserted_words():
+    index = licenses.Index({b"": 100})
+    grant = "permission is hereby granted free of charge to any person acquiring a copy of this software"
+    assert index.scan(licenses.words_of(grant))[1] == {"mit": 15 / 16}
+    spaced = "permission is hereby granted free of charge now to any other person obtaining a copy of this software"
+    assert index.scan(licenses.words_of(spaced))[1] == {"mit": 1.0}
+    whole = next(n[1] for n in licenses.NOTICES if n[0] == "mit" and len(n[1]) > 200)
+    assert index.scan(licenses.words_of(f"intro {whole} outro"))[1]["mit"] == 1.0
