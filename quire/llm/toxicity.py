@@ -239,7 +239,7 @@ def features(memo: dict[str, float], words: list[str]) -> list[float]:
         return [0.0] * 5
     v = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
     excess = float(np.maximum(v - EXCESS, 0).sum())
-    difference = float(v.sum()) / (sum(map(len, words)) + len(v))
+    difference = float(v.sum()) / (len("".join(words)) + len(v))
     return [difference, excess / len(v), excess / len(v) ** 0.5, float(np.log1p(excess)), float(min(max(v.max(), 0.0), 20.0))]
 
 

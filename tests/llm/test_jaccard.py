@@ -9,13 +9,13 @@ from quire.llm import graph, jaccard
 from .helpers import ODD_TEXTS, babble, documents, real_texts
 
 
-def shingle_set(text):
+def shingle_set(text, size=4):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-    return {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def brute(texts):
-    sets = [shingle_set(t) for t in texts]
+def brute(texts, size=4, percent=85):
+    sets = [shingle_set(t, size) for t in texts]
     parent = list(range(len(texts)))
 
     def root(x):
@@ -26,9 +26,9 @@ def brute(texts):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)):
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
                 n = len(a & b)
-                if 100 * n >= 85 * (len(a) + len(b) - n):
+                if 100 * n >= percent * (len(a) + len(b) - n):
                     x, y = sorted((root(i), root(j)))
                     parent[y] = x
     return [(i, len(s), root(i)) for i, s in enumerate(sets)]

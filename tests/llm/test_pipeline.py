@@ -25,7 +25,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(tuple(r) == tuple(every[i]) for i, r in toxic.items())
 
     order = sorted(toxic)
-    heads = {order[c] for _, _, c in brute([toxic[i].text for i in order])}
+    heads = {order[c] for _, _, c in brute([toxic[i].text for i in order], 5, 80)}
     assert set(near) == heads
 
     items = [decontaminate.folded(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
