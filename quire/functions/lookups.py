@@ -61,9 +61,9 @@ LABELS = (
 FIELDS = {
     "multiline": ("abstract", "addendum", "note", "annotation"),
     "list": (
-        *("afterword", "annotator", "author", "bookauthor", "commentator", "editor", "editora", "editorb", "editorc", "foreword", "holder", "introduction", "sortname", "translator"),
-        *("title", "booktitle", "institution", "location", "origlocation", "address", "publisher", "origpublisher"),
-    ),
+        "afterword", "annotator", "author", "bookauthor", "commentator", "editor", "editora", "editorb", "editorc", "foreword", "holder", "introduction", "sortname", "translator",
+        "title", "booktitle", "institution", "location", "origlocation", "address", "publisher", "origpublisher",
+    ),
     "ref": ("crossref", "xref"),
     "file": ("file",),
     "literal": ("journal", "journaltitle"),
@@ -96,10 +96,20 @@ SHOWN = 10
 
 def glyph_table(spark: SparkSession, minus: bool = True, prime: bool = True) -> DataFrame:
     """(char, class, glyph); the minus and the prime can be left as they are (the prime where the font lacks it)."""
-    left = {"-"} * (not minus) | {"′"} * (not prime) if False else ({"-"} if not minus else set()) | ({"′"} if not prime else set())
+    left = {c for c, shown in (("-", minus), ("′", prime)) if not shown}
     return spark.createDataFrame([g for g in GLYPHS if g[0] not in left], "char string, class string, glyph string")
 
 
+def class_counts(text: Column) -> Column:
+    """array<struct<class, n>>: for each glyph class, how many of the text's characters are of it."""
+    classes: dict[str, str] = {}
+    for char, kind, _ in GLYPHS:
+        if len(char) == 1:
+            classes[kind] = classes.get(kind, "") + char
+    size = F.length(text)
+    return F.array(*(F.struct(F.lit(kind).alias("class"), (size - F.length(F.translate(text, chars, ""))).cast("long").alias("n")) for kind, chars in classes.items()))
+
+
 def translated(text: Column, minus: bool = True, prime: bool = True) -> Column:
     """The text with single characters replaced by their glyphs."""
     pairs = [(c, g) for c, _, g in GLYPHS if len(c) == 1 and c != g and (minus or c != "-") and (prime or c != "′")]

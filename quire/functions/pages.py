@@ -114,7 +114,7 @@ def titled(title: Column) -> Column:
 
 def padded(page: Column) -> Column:
     """At least three digits; longer numbers whole."""
-    return F.format_string(f"%0{DIGITS}d", page.cast("int"))
+    return F.format_string(f"%0{DIGITS}d", page.cast("long"))
 
 
 def padded_last(page: Column) -> Column:

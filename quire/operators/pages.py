@@ -105,6 +105,20 @@ def process(pages: DataFrame, steps: list[tuple[str, Callable[[dict, object], ob
     return pages.mapInArrow(run, schema)
 
 
+def cleaning(rasterise: Callable, binarise: Callable, recognise: Callable) -> list[tuple[str, Callable]]:
+    """The steps of a scan's cleaning, for process(): a page is rasterised, binarised at its threshold, and its text recognised.
+
+    rasterise(path, page) and recognise(image) are the caller's, as are image
+    libraries; binarise(image, percent) gets the row's threshold.  A page
+    without a raster ends there.
+    """
+    return [
+        ("rasterise", lambda row, _: rasterise(row["path"], row["page"])),
+        ("binarise", lambda row, image: binarise(image, row.get("threshold") if row.get("threshold") is not None else P.THRESHOLD)),
+        ("recognise", lambda _, image: recognise(image)),
+    ]
+
+
 def errors(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     """The report of failed pages."""
     return pages.filter("error IS NOT NULL").select(doc, "page", "error")

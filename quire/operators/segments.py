@@ -6,30 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import pages as P
+from quire.sources.files import cut
 
 
 def flatten_outline(entries: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Depth-first pre-order of outline entries (doc, id, parent, ord, title, start): adds path array<int> and ord 1..n in that order.
+    """Depth-first pre-order of outline entries (doc, id, parent, ord, title, start): adds path array<long> and ord 1..n in that order.
 
-    Entries without a resolvable page (start null) are left out; their
-    children stay, as they are entries of their own.
+    Each round doubles the part of its path that an entry knows, so an outline
+    of any depth d takes log d joins.  Entries without a resolvable page (start
+    null) are left out; their children stay, as they are entries of their own.
+    Entries that no root leads to (an absent parent, a circle) have no place
+    in the outline and are left out, too.
     """
-    spark = entries.sparkSession
-    view = "quire_outline_entries"
-    entries.createOrReplaceTempView(view)
-    flat = spark.sql(
-        f"""
-        WITH RECURSIVE outline(doc, id, parent, title, start, path) AS (
-            SELECT {doc}, id, parent, title, start, array(CAST(ord AS INT)) FROM {view} WHERE parent IS NULL
-            UNION ALL
-            SELECT e.{doc}, e.id, e.parent, e.title, e.start, concat(o.path, array(CAST(e.ord AS INT)))
-            FROM {view} e JOIN outline o ON e.parent = o.id AND e.{doc} <=> o.doc
-        )
-        SELECT doc AS {doc}, id, parent, title, start, path FROM outline
-        """
-    )
+    known = cut(entries.select(F.col(doc), "id", "parent", "title", "start", F.array(F.col("ord").cast("long")).alias("path"), F.col("parent").alias("__up")))
+    left = known.filter("__up IS NOT NULL").count()
+    while left:
+        above = known.select(F.col(doc).alias("__doc"), F.col("id").alias("__id"), F.col("path").alias("__path"), F.col("__up").alias("__next"))
+        open_ = known.filter("__up IS NOT NULL").join(above, F.col(doc).eqNullSafe(F.col("__doc")) & (F.col("__up") == F.col("__id")))
+        further = open_.select(doc, "id", "parent", "title", "start", F.concat("__path", "path").alias("path"), F.col("__next").alias("__up"))
+        known = cut(known.filter("__up IS NULL").unionByName(further))
+        before, left = left, known.filter("__up IS NOT NULL").count()
+        if left == before:  # circles only
+            break
     ordered = Window.partitionBy(doc).orderBy("path")
-    return flat.filter("start IS NOT NULL").withColumn("ord", F.row_number().over(ordered))
+    return known.filter("__up IS NULL AND start IS NOT NULL").drop("__up").withColumn("ord", F.row_number().over(ordered))
 
 
 def segments(bookmarks: DataFrame, documents: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -56,6 +57,40 @@ def parsed_parts(lines: DataFrame) -> DataFrame:
     return kept.select("ord", F.get(fields, F.lit(0)).alias("title"), F.get(fields, F.lit(1)).cast("int").alias("start"), F.get(fields, F.lit(2)).cast("int").alias("end"))
 
 
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame, written once to the folder that spark.checkpoint.dir names; its lineage ends there.  Without one, a temporary folder on a local master only."""
+    spark = frame.sparkSession
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return frame.checkpoint(eager=True)
+
+
+def write_files(documents: DataFrame, write: Callable[[str, list, dict | None], None], payloads: str = "payloads") -> DataFrame:
+    """Documents (output, payloads, info) through a writer, f(path, payloads, info): (output, error), one file a document or segment.
+
+    The writer is given by the caller, as PDF libraries are not part of this
+    package; a document that it fails on has an error, the others are written.
+    """
+    schema = "output string, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = []
+            for row in batch.to_pylist():
+                try:
+                    write(row["output"], row[payloads], dict(row["info"]) if row.get("info") else None)
+                    errors.append(None)
+                except Exception as problem:  # a file's failure is data
+                    errors.append(str(problem))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("output")).cast(pa.string()), pa.array(errors, pa.string())], names=["output", "error"])
+
+    return documents.mapInArrow(run, schema)
+
+
 def write_parts(parts: DataFrame, path: str) -> None:
     """Parts (folder, seq, ...) in a folder of their own each, replacing what was there."""
     parts.write.mode("overwrite").partitionBy("folder", "seq").parquet(path)
