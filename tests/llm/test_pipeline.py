@@ -48,3 +48,19 @@ def test_run_and_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, SF).count() == 2
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_stages_keep_columns_that_clash(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, None, None, None, "a", 1, "x"), (1, text, None, None, None, "a", 1, "x"), (2, text.upper(), "en", "s", 5, "b", 2, "y"), (3, "z " * 150_000, "en", "s", 1, None, None, None), (4, None, "en", "s", 0, "c", 3, "z")]
+    odd = spark.createDataFrame(rows, docs.schema.simpleString()[7:-1].replace(":", " ") + ", __tag string, component int, gram string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        if name == "byte-level BPE encoding and decoding":
+            assert sorted(r.doc_id for r in out.collect()) == [1, 1, 2, 3, 4]
+            continue
+        assert out.columns == odd.columns
+        kept = sorted(tuple(r)[:2] + tuple(r)[5:] for r in out.collect())
+        whole = sorted(tuple(r)[:2] + tuple(r)[5:] for r in odd.collect())
+        assert kept == ([r for r in whole if r[0] != 2][1:] if name == "n-gram Jaccard join" else whole)
