@@ -8,13 +8,15 @@ model, made of continuation counts of the two classes together, so that an
 expression which is rare in either class gets nearly the same likelihood from
 both.
 
-A word's log-likelihood ratio is the sum over its characters.  An n-gram seen
-in neither class comes from the shared backoff alone, with one weight for both
-classes, so it cancels out: unknown words speak for neither class, and a scorer
-needs one table, ratio by n-gram.  Counting, backoff and ratios are made by
-DataFrame aggregations over all labelled training documents.  The ratios are
-kept by exact n-gram: 36 bytes for each distinct one, so the table grows with
-the distinct n-grams of the labelled training documents and nothing is merged.
+A word's log-likelihood ratio is the sum over its characters.  For an n-gram
+seen in neither class the shared backoff cancels out and only the contexts'
+backoff weights remain, so a scorer needs two tables: ratio by n-gram and
+ratio by context.  The smaller class backs off more, whatever it has seen, so
+these weights count only where they speak against toxicity: unknown words are
+not toxic for being unknown.  Counting, backoff and ratios are made by DataFrame
+aggregations over all labelled training documents.  The ratios are kept by
+exact n-gram: 36 bytes for each distinct one, so the tables grow with the
+distinct n-grams of the labelled training documents and nothing is merged.
 
 A document's features are the difference of its two log-likelihoods a
 character, and, for a few toxic words in a long text, the ratios in excess of
@@ -197,8 +199,8 @@ def discounts(grams: DataFrame) -> dict[str, tuple[float, float, float]]:
     return found
 
 
-def ratios(grams: DataFrame, low: DataFrame, discount: dict[str, tuple[float, float, float]]) -> DataFrame:
-    """(gram, r_0, r_1, r_both), in one aggregation; null where a table lacks the n-gram."""
+def ratios(grams: DataFrame, low: DataFrame, discount: dict[str, tuple[float, float, float]]) -> tuple[DataFrame, DataFrame]:
+    """(gram, r_0, r_1, r_both) of n-grams and of contexts, in one aggregation; null where a table lacks the n-gram."""
     columns = count_columns()
     own = grams.select("gram", F.substring("gram", 1, N - 1).alias("ctx"), F.substring("gram", 2, N - 1).alias("low"), *(c.alias(f"n{name}") for name, c in columns.items()))
 
@@ -215,7 +217,9 @@ def ratios(grams: DataFrame, low: DataFrame, discount: dict[str, tuple[float, fl
         seen = F.when(F.col(f"den{x}") > 0, (F.col(f"n{x}") - off(x)) / F.col(f"den{x}")).otherwise(F.lit(0.0))
         return seen + weight(x) * F.col("p_low")
 
-    return own.join(sums, "ctx").join(low, "low").select("gram", *(F.when(F.col(f"n1_{t}") + F.col(f"n0_{t}") > 0, F.ln(p(f"1_{t}") / p(f"0_{t}"))).alias(f"r_{t}") for t in TABLES))
+    by_gram = own.join(sums, "ctx").join(low, "low").select("gram", *(F.when(F.col(f"n1_{t}") + F.col(f"n0_{t}") > 0, F.ln(p(f"1_{t}") / p(f"0_{t}"))).alias(f"r_{t}") for t in TABLES))
+    by_context = sums.select(F.col("ctx").alias("gram"), *(F.when(F.col(f"den1_{t}") + F.col(f"den0_{t}") > 0, F.ln(weight(f"1_{t}") / weight(f"0_{t}"))).alias(f"r_{t}") for t in TABLES))
+    return by_gram, by_context
 
 
 def ratio_table(rows: DataFrame, n: int) -> Ratios:
@@ -224,9 +228,11 @@ def ratio_table(rows: DataFrame, n: int) -> Ratios:
     return Ratios(got["gram"], np.stack([got[t].to_numpy() for t in TABLES]), n)
 
 
-def word_ratios(words: list[str], by_gram: Ratios, table: int = 2) -> np.ndarray:
+def word_ratios(words: list[str], by_gram: Ratios, by_context: Ratios, table: int = 2) -> np.ndarray:
     points, ends, sizes = n_grams(words)
-    each = np.nan_to_num(by_gram.of(points, ends, table))
+    seen = by_gram.of(points, ends, table)
+    context = by_context.of(points, ends - 1, table)
+    each = np.where(np.isnan(seen), np.minimum(np.nan_to_num(context), 0), seen)
     return np.add.reduceat(each, np.cumsum(sizes) - sizes, dtype=np.float64)
 
 
@@ -239,7 +245,7 @@ def features(memo: dict[str, float], words: list[str]) -> list[float]:
     return [difference, excess / len(v), excess / len(v) ** 0.5, float(np.log1p(excess)), float(min(max(v.max(), 0.0), 20.0))]
 
 
-def feature_maker(by_gram: Ratios, table: int = 2):
+def feature_maker(tables, table: int = 2):
     memo: dict[str, float] = {}
 
     def of(texts):
@@ -249,7 +255,7 @@ def feature_maker(by_gram: Ratios, table: int = 2):
             memo.clear()
             new = list(set().union(*lists))
         if new:
-            memo.update(zip(new, word_ratios(new, by_gram, table).tolist()))
+            memo.update(zip(new, word_ratios(new, *tables, table).tolist()))
         return [features(memo, w) for w in lists]
 
     return of
@@ -271,7 +277,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.nda
 
 
 class Model:
-    """Ratios, as a broadcast, and calibration."""
+    """Tables, as a broadcast, and calibration."""
 
     def __init__(self, tables: Broadcast | None, calibration, constant: float | None = None):
         self.tables, self.calibration, self.constant = tables, calibration, constant
@@ -289,7 +295,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not kinds.get((False, "ordinary")) or not kinds.get((False, "toxic")):
         return Model(None, None, share)
     low = checkpointed(shared_backoff(grams))
-    shared = spark.sparkContext.broadcast(ratio_table(ratios(grams, low, discounts(grams)), N))
+    by_gram, by_context = ratios(grams, low, discounts(grams))
+    tables = ratio_table(by_gram, N), ratio_table(by_context, N - 1)
+    shared = spark.sparkContext.broadcast(tables)
     rate = min(1.0, CALIBRATION_ROWS / max(1, n_docs))
     some = docs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 20)) < int(rate * (1 << 20)))
     sample = training_rows(some, labels, id_col, text_col).select("id", "toxic", "half", "text")

@@ -48,7 +48,7 @@ def test_ratios_match_brute_force(spark):
     grams = toxicity.checkpointed(toxicity.count_n_grams(toxicity.training_rows(docs, labels, "doc_id", "text")).filter("gram != ''"))
     low = {r.low: r.p_low for r in toxicity.shared_backoff(grams).collect()}
     discount = toxicity.discounts(grams)
-    by_gram = toxicity.ratios(grams, toxicity.shared_backoff(grams), discount)
+    by_gram, by_context = toxicity.ratios(grams, toxicity.shared_backoff(grams), discount)
     counts = [Counter(), Counter()]
     train = docs.join(labels, "doc_id").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     for r in train.collect():
@@ -73,6 +73,9 @@ def test_ratios_match_brute_force(spark):
 
     for r in by_gram.collect():
         assert r.r_both == pytest.approx(math.log(p(r.gram, *weights[1]) / p(r.gram, *weights[0])), abs=1e-9)
+    for r in by_context.collect():
+        back = [mass[r.gram] / den[r.gram] if den[r.gram] else 1.0 for _, _, den, mass in weights]
+        assert r.r_both == pytest.approx(math.log(back[1] / back[0]), abs=1e-9)
     sums = Counter()
     for g, p in low.items():
         sums[g[:3]] += p
@@ -110,12 +113,13 @@ def test_no_two_n_grams_share_a_ratio(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     grams = toxicity.checkpointed(toxicity.count_n_grams(toxicity.training_rows(docs, labels, "doc_id", "text")).filter("gram != ''"))
-    by_gram = {r.gram: r.r_both for r in toxicity.ratios(grams, toxicity.shared_backoff(grams), toxicity.discounts(grams)).collect()}
+    both = toxicity.ratios(grams, toxicity.shared_backoff(grams), toxicity.discounts(grams))
+    by_gram, by_context = ({r.gram: r.r_both for r in t.collect()} for t in both)
     assert len(by_gram) > 200_000
     known = sorted({w for r in docs.limit(40).collect() for w in r.text.split()})
     words = known + [word() for _ in range(5000)]
     want = []
     for w in words:
         t = "\x02" * 4 + w + "\x03"
-        want.append(sum(by_gram.get(t[i : i + 5], 0.0) for i in range(len(t) - 4)))
-    assert np.allclose(toxicity.word_ratios(words, model.tables.value), want, atol=1e-4)
+        want.append(sum(by_gram.get(t[i : i + 5], min(0.0, by_context.get(t[i : i + 4], 0.0))) for i in range(len(t) - 4)))
+    assert np.allclose(toxicity.word_ratios(words, *model.tables.value), want, atol=1e-4)
