@@ -15,8 +15,13 @@ ratio by context.  The smaller class backs off more, whatever it has seen, so
 these weights count only where they speak against toxicity: unknown words are
 not toxic for being unknown.  Counting, backoff and ratios are made by DataFrame
 aggregations over all labelled training documents.  The ratios are kept by
-exact n-gram: 36 bytes for each distinct one, so the tables grow with the
-distinct n-grams of the labelled training documents and nothing is merged.
+exact n-gram, 36 bytes for each distinct one, and nothing is merged.  They are
+counted first: up to PIECE of them go to the workers at once.  More are cut by
+context into pieces of about PIECE, and one piece at a time goes over the
+distinct words of the documents, whose ratios are sums over the pieces; the
+ratios of the FREQUENT commonest words then go to the workers, those of the
+others are joined to the documents that hold them.  Both ways give the same
+scores (but for the order of sums).
 
 A document's features are the difference of its two log-likelihoods a
 character, and, for a few toxic words in a long text, the ratios in excess of
@@ -40,6 +45,7 @@ an empty result.  Other columns are ignored.  Texts are read whole.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -48,7 +54,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _arrow_schema, checkpointed, frugal, map_rows, small_batches
+from quire.llm.common import _arrow_schema, checkpoint_dir, checkpointed, delete, frugal, map_rows, saved, small_batches
 
 N = 5
 TABLES = ("0", "1", "both")  # counted from the training documents of half 0, of half 1, of both
@@ -57,6 +63,9 @@ EXCESS = 3.0
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
 MEMO = 100_000
+PIECE = 1 << 21  # n-grams that go to a worker at once: 72 MB
+FREQUENT = 1 << 17  # words whose ratios go to a worker at once
+SHORT = 40  # characters of such a word
 
 _WORD = re.compile(r"[^\W\d_]+")
 _PAD, _END = "\x02", "\x03"
@@ -223,7 +232,7 @@ def ratios(grams: DataFrame, low: DataFrame, discount: dict[str, tuple[float, fl
 
 
 def ratio_table(rows: DataFrame, n: int) -> Ratios:
-    """The ratios by exact n-gram; as many rows reach the driver as there are distinct ones."""
+    """The ratios by exact n-gram; the caller sees to it that there are about PIECE at most."""
     got = rows.select("gram", *(F.col(f"r_{t}").cast("float").alias(t) for t in TABLES)).toArrow()
     return Ratios(got["gram"], np.stack([got[t].to_numpy() for t in TABLES]), n)
 
@@ -276,28 +285,131 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.nda
     return mean, scale, w
 
 
+class Pieces:
+    """Ratios cut by context: a piece holds the n-grams of its contexts and the contexts themselves."""
+
+    def __init__(self, by_gram: DataFrame, by_context: DataFrame, number: int):
+        self.number = number
+        self.by_gram, self.by_context = (saved(t.withColumn("piece", F.pmod(F.xxhash64(F.substring("gram", 1, N - 1)), F.lit(number)))) for t in (by_gram, by_context))
+
+    def tables(self, piece: int) -> tuple[Ratios, Ratios]:
+        return ratio_table(self.by_gram.filter(F.col("piece") == piece), N), ratio_table(self.by_context.filter(F.col("piece") == piece), N - 1)
+
+
+def count_words(rows: DataFrame) -> DataFrame:
+    """(word, n) over all texts."""
+    types = _arrow_schema(rows.sparkSession, "word string, n long")
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in small_batches(batches, "text"):
+            for text in batch.column(0).to_pylist():
+                counts.update(words_of(text))
+            if len(counts) > MEMO:
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), types[0].type), pa.array(list(counts.values()), types[1].type)], schema=types)
+                counts.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), types[0].type), pa.array(list(counts.values()), types[1].type)], schema=types)
+
+    return rows.select("text").mapInArrow(frugal(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_table(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, n, v_0, v_1, v_both): the ratio of each distinct word by each of TABLES, a piece after the other."""
+    spark, folder = rows.sparkSession, f"{checkpoint_dir(rows.sparkSession)}/words-{uuid.uuid4()}"
+    names = [f"v_{t}" for t in TABLES]
+    words = count_words(rows).select("word", "n", *(F.lit(0.0).alias(v) for v in names))
+
+    def add(shared):
+        def run(batches):
+            for batch in small_batches(batches, "word"):
+                found = batch.column(0).to_pylist()
+                values = [pa.array(np.asarray(batch.column(2 + k)) + word_ratios(found, *shared.value, k)) for k in range(len(TABLES))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], schema=batch.schema)
+
+        return run
+
+    for piece in range(pieces.number):
+        shared = spark.sparkContext.broadcast(pieces.tables(piece))
+        words.mapInArrow(frugal(add(shared)), words.schema).write.parquet(f"{folder}/{piece}")
+        words = spark.read.schema(words.schema).parquet(f"{folder}/{piece}")
+        if piece:
+            delete(spark, f"{folder}/{piece - 1}")
+        shared.destroy()
+    return words
+
+
+def spread_features(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """(tag, x) for each row (tag, text, pick): the features by the pick-th of TABLES, where the tables are no broadcast.
+
+    A document's commonest words are summed where it stands; each other word
+    goes with its count to the join, so no word of that join is a hot key.
+    """
+    spark = rows.sparkSession
+    words = word_table(rows, pieces)
+    names = [f"v_{t}" for t in TABLES]
+    common = words.filter(F.length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    shared = spark.sparkContext.broadcast((common["word"].to_pylist(), np.stack([common[v].to_numpy() for v in names])))
+    schema = f"row long, tag {rows.schema['tag'].dataType.simpleString()}, pick int, word string, k long, n long, chars long, total double, excess double, top double"
+    types = _arrow_schema(spark, schema)
+
+    def run(batches):
+        known, values = shared.value
+        places = {w: i for i, w in enumerate(known)}
+        for batch in small_batches(batches, "text"):
+            out = []
+            for row, tag, text, pick in zip(*(c.to_pylist() for c in batch.columns)):
+                counts = Counter(words_of(text))
+                here = [(places[w], k) for w, k in counts.items() if w in places]
+                at, k = (np.array(x, np.int64) for x in (zip(*here) if here else ((), ())))
+                v = values[pick][at]
+                n = sum(counts.values())
+                out.append((row, tag, pick, None, None, n, sum(len(w) * c for w, c in counts.items()) + n, float((v * k).sum()), float((np.maximum(v - EXCESS, 0) * k).sum()), float(v.max()) if here else None))
+                out += [(row, None, pick, w, c, 0, 0, None, None, None) for w, c in counts.items() if w not in places]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], schema=types)
+
+    parts = saved(rows.select(F.monotonically_increasing_id().alias("row"), "tag", "text", F.col("pick").cast("int")).mapInArrow(frugal(run), schema))
+    shared.destroy()
+    v = F.element_at(F.array(*names), F.col("pick") + 1)
+    rest = parts.filter("word is not null").select("row", "tag", "pick", "word", "k").join(words.drop("n"), "word")
+    rest = rest.select("row", "tag", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("chars"), (F.col("k") * v).alias("total"), (F.col("k") * F.greatest(v - EXCESS, F.lit(0.0))).alias("excess"), v.alias("top"))
+    both = parts.filter("word is null").select(rest.columns).unionByName(rest)
+    sums = both.groupBy("row").agg(F.max("tag").alias("tag"), *(F.sum(c).alias(c) for c in ("n", "chars", "total", "excess")), F.max("top").alias("top"))
+    x = [F.col("total") / F.col("chars"), F.col("excess") / F.col("n"), F.col("excess") / F.sqrt("n"), F.log1p("excess"), F.least(F.greatest("top", F.lit(0.0)), F.lit(20.0))]
+    return sums.select("tag", F.array(*(F.when(F.col("n") > 0, c).otherwise(0.0) for c in x)).alias("x"))
+
+
+def probability(calibration) -> Column:
+    """The calibrated score of the features x."""
+    mean, scale, w = (list(map(float, c)) for c in calibration)
+    z = sum((w[i] * (F.col("x")[i] - mean[i]) / scale[i] for i in range(len(mean))), F.lit(w[-1]))
+    return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+
+
 class Model:
-    """Tables, as a broadcast, and calibration."""
+    """Tables, as a broadcast or in pieces, and calibration."""
 
-    def __init__(self, tables: Broadcast | None, calibration, constant: float | None = None):
+    def __init__(self, tables: Broadcast | Pieces | None, calibration, constant: float | None = None):
         self.tables, self.calibration, self.constant = tables, calibration, constant
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> Model:
     spark = docs.sparkSession
     counted = checkpointed(count_n_grams(training_rows(docs, labels, id_col, text_col)))
     grams = counted.filter("gram != ''")
     ordinary, toxic = (F.col(f"c_{x}0") + F.col(f"c_{x}1") for x in (0, 1))
-    found = counted.groupBy((F.col("gram") == "").alias("documents")).agg(F.sum(ordinary).alias("ordinary"), F.sum(toxic).alias("toxic")).collect()
-    kinds = {(r.documents, c): r[c] for r in found for c in ("ordinary", "toxic")}
+    found = counted.groupBy((F.col("gram") == "").alias("documents")).agg(F.sum(ordinary).alias("ordinary"), F.sum(toxic).alias("toxic"), F.count(F.lit(1)).alias("distinct")).collect()
+    kinds = {(r.documents, c): r[c] for r in found for c in ("ordinary", "toxic", "distinct")}
     n_docs = sum(kinds.get((True, c), 0) for c in ("ordinary", "toxic"))
     share = kinds.get((True, "toxic"), 0) / max(1, n_docs)
     if not kinds.get((False, "ordinary")) or not kinds.get((False, "toxic")):
         return Model(None, None, share)
     low = checkpointed(shared_backoff(grams))
     by_gram, by_context = ratios(grams, low, discounts(grams))
-    tables = ratio_table(by_gram, N), ratio_table(by_context, N - 1)
-    shared = spark.sparkContext.broadcast(tables)
+    pieces = -(-kinds[(False, "distinct")] // piece)
+    if pieces > 1:
+        shared = Pieces(by_gram, by_context, pieces)
+    else:
+        shared = spark.sparkContext.broadcast((ratio_table(by_gram, N), ratio_table(by_context, N - 1)))
     rate = min(1.0, CALIBRATION_ROWS / max(1, n_docs))
     some = docs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 20)) < int(rate * (1 << 20)))
     sample = training_rows(some, labels, id_col, text_col).select("id", "toxic", "half", "text")
@@ -315,10 +427,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return handle
 
-    got = map_rows(sample, "toxic int, x array<double>", make, "text").toArrow()
+    if pieces > 1:
+        got = spread_features(sample.select(F.col("toxic").alias("tag"), "text", (1 - F.col("half")).alias("pick")), shared).withColumnRenamed("tag", "toxic").toArrow()
+    else:
+        got = map_rows(sample, "toxic int, x array<double>", make, "text").toArrow()
     x, y = np.array(got["x"].to_pylist(), float).reshape(-1, 5), (got["toxic"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
-        shared.destroy()
+        if pieces == 1:
+            shared.destroy()
         return Model(None, None, share)
     return Model(shared, calibrate(x, y))
 
@@ -329,6 +445,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     if model.constant is not None:
         return rows.select(id_col, F.lit(float(model.constant)).alias("score"))
     shared, calibration = model.tables, model.calibration
+    if isinstance(shared, Pieces):
+        found = spread_features(rows.select(F.col(id_col).alias("tag"), F.col(text_col).alias("text"), F.lit(len(TABLES) - 1).alias("pick")), shared)
+        return found.select(F.col("tag").alias(id_col), probability(calibration).alias("score"))
 
     def make():
         score_of = scorer(shared.value, calibration)
@@ -354,6 +473,11 @@ def filter_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshol
     if model.constant is not None:
         return docs.filter(F.lit(float(model.constant) < threshold))
     shared, calibration = model.tables, model.calibration
+    if isinstance(shared, Pieces):  # equal texts score alike, so those that go are named by a digest
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        found = spread_features(docs.select(F.sha2(text, 256).alias("tag"), text.alias("text"), F.lit(len(TABLES) - 1).alias("pick")), shared)
+        gone = saved(found.filter(probability(calibration) >= threshold).select(F.col("tag").alias("__rejected")).distinct())
+        return docs.join(gone, F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256) == gone["__rejected"], "left_anti")
 
     def run(batches):
         score_of = scorer(shared.value, calibration)

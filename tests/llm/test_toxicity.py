@@ -123,3 +123,20 @@ def test_no_two_n_grams_share_a_ratio(spark):
         t = "\x02" * 4 + w + "\x03"
         want.append(sum(by_gram.get(t[i : i + 5], min(0.0, by_context.get(t[i : i + 4], 0.0))) for i in range(len(t) - 4)))
     assert np.allclose(toxicity.word_ratios(words, *model.tables.value), want, atol=1e-4)
+
+
+def test_tables_in_pieces_give_the_same_scores(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FREQUENT", 20)  # so that most words are joined
+    docs, labels = corpus(spark, 300)
+    docs = docs.unionByName(docs.limit(5)).unionByName(documents(spark, ODD_TEXTS).withColumn("doc_id", F.col("doc_id") + 5000))
+    whole, cut = toxicity.train(docs, labels), toxicity.train(docs, labels, piece=40)
+    assert isinstance(cut.tables, toxicity.Pieces) and cut.tables.number > 2
+    a, b = (sorted((r.doc_id, r.score) for r in toxicity.score(docs, m).collect()) for m in (whole, cut))
+    assert [i for i, _ in a] == [i for i, _ in b] and len(a) == 305 + len(ODD_TEXTS)
+    assert np.allclose([s for _, s in a], [s for _, s in b], atol=1e-4)
+    clash = docs.withColumn("__rejected", F.lit("x")).withColumn("tag", F.lit(1))
+    kept = [toxicity.filter_toxic(clash, m) for m in (whole, cut)]
+    assert kept[1].columns == clash.columns
+    ids = [sorted(r.doc_id for r in k.select("doc_id").collect()) for k in kept]
+    assert ids[0] == ids[1] and 0 < len(ids[0]) < len(a)
+    assert toxicity.score(docs.limit(0), cut).count() == 0 and toxicity.filter_toxic(docs.limit(0), cut).count() == 0
