@@ -32,7 +32,7 @@ from quire.llm.common import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]"
 GAPS = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 
 #: Share of good documents that may be rejected, the error probability of the whole choice, and the cutoffs tried.
@@ -56,8 +56,8 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         docs.withColumn("__words", F.transform(words, lambda w: F.xxhash64(w)))
         .withColumn("__lines", lines)
         .withColumn("n_words", F.size("__words").cast("long"))
-        .withColumn("word_chars", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
+        .withColumn("word_chars", F.length(F.regexp_replace(text, GAPS, "")).cast("long"))
+        .withColumn("n_symbols", (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"))
         .withColumn("n_lines", F.size("__lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .withColumn("n_repeat_words", repeated_words(F.col("__words")))
@@ -68,32 +68,43 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Words inside windows of so many words that stand twice or more in the text, the first included.
 
-    words: 64-bit hashes.  The windows' hashes are sorted with their positions,
-    equal neighbours are marked, and the union of the marked windows is summed
-    from position to position.
+    words: 64-bit hashes.  The windows' hashes are made once; where two are
+    equal, they are sorted with their positions, equal neighbours are marked,
+    and the union of the marked windows is summed from position to position.
     """
-    last = F.size(words) - window
 
-    def windows(shape):
-        return F.transform(F.sequence(F.lit(0), last), lambda i: shape(F.xxhash64(*(F.get(words, i + k) for k in range(window))), i))
-
-    hashes = windows(lambda h, i: h)
-    pairs = F.array_sort(windows(lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-    def marked(p):
-        n = F.size(p)
-        same = lambda a, b: F.get(p, a)["h"] == F.get(p, b)["h"]
-        keep = lambda k: F.coalesce((k > 0) & same(k - 1, k), F.lit(False)) | F.coalesce((k < n - 1) & same(k, k + 1), F.lit(False))
-        return F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), n - 1), keep), lambda k: F.get(p, k)["i"]))
+    def marked(pairs):
+        same = lambda x, k: F.coalesce(F.get(pairs, k)["h"] == x["h"], F.lit(False))  # noqa: E731  false beyond the ends
+        return F.sort_array(F.transform(F.filter(pairs, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"]))
 
     def covered(at):
         start = F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last"))
         step = lambda acc, i: F.struct((acc["n"] + F.least(F.lit(window), i - acc["last"])).alias("n"), i.alias("last"))
         return F.aggregate(at, start, step, lambda acc: acc["n"])
 
-    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  evaluates value once
-    full = bind(pairs, lambda p: bind(marked(p), covered))
-    return F.when(last < 1, F.lit(0)).when(F.size(F.array_distinct(hashes)) == last + 1, F.lit(0)).otherwise(full).cast("long")
+    def counted(hashes):
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(once(pairs, lambda p: once(marked(p), covered)))
+
+    return once(words, lambda w: F.when(F.size(w) <= window, F.lit(0)).otherwise(once(window_hashes(w, window), counted))).cast("long")
+
+
+def window_hashes(words: Column, window: int) -> Column:
+    """A hash of each window of so many words: of two shorter windows' hashes that cover it, so that a few passes do."""
+
+    def widened(hashes, span):
+        if span == window:
+            return F.slice(hashes, 1, F.greatest(F.size(hashes) - window + 1, F.lit(0)))
+        step = min(span, window - span)
+        later = F.slice(hashes, step + 1, F.greatest(F.size(hashes) - step, F.lit(0)))
+        return once(F.zip_with(hashes, later, lambda a, b: F.xxhash64(a, b)), lambda h: widened(h, span + step))
+
+    return widened(words, 1)
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def rules() -> dict[str, Column]:
