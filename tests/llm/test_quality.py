@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import pytest
@@ -54,3 +55,17 @@ def test_cutoffs_bound_false_rejection(spark):
     assert not got[5000] and got[5001]  # no valid cutoff without labels
     assert sum(not got[i] for i in range(4000)) <= 0.05 * 4000
     assert quality.judge(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_windows_of_any_width(spark):
+    pick = random.Random(3)
+    rows = [(i, [pick.randrange(2 + i % 3) for _ in range(i % 41)]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "i long, words array<long>").repartition(4)
+    widths = (2, 3, 5, 8)
+    for r in frame.select("i", *(quality.repeated_words(F.col("words"), n).alias(f"n{n}") for n in widths)).collect():
+        words = rows[r.i][1]
+        for n in widths:
+            where = {}
+            for at in range(len(words) - n + 1):
+                where.setdefault(tuple(words[at : at + n]), []).append(at)
+            assert r[f"n{n}"] == len({p for at in where.values() if len(at) > 1 for a in at for p in range(a, a + n)}), (words, n)
