@@ -6,7 +6,8 @@ Encoding runs in three steps without a shuffle:
    its distinct pieces (words) and hands new ones on with every batch of
    texts, which are then lists of word numbers.  A word is handed on as its
    byte array with one character a byte, that of the byte's id, followed by
-   what its neighbouring bytes merge to;
+   what its neighbouring bytes merge to; a word of the vocabulary (below) is
+   handed on as READY and its token characters;
 2. Spark folds the ranked merges over the bytes of each distinct word: the
    state is the string of token characters and the string of the characters
    that neighbouring pairs merge to.  Characters are in the order of ranks, so
@@ -17,6 +18,12 @@ Encoding runs in three steps without a shuffle:
 
 Decoding maps ids to their binary pieces by an array literal and joins them.
 
+Most words of a task are words of other tasks, too.  Of a table of more than
+SAMPLE_ROWS rows, about so many are therefore cut first (SAMPLE_CHARS of each at
+most), and their VOCABULARY commonest words folded, by the same fold, once and
+broadcast.  Which words these are changes the work only: all others are folded
+in their tasks.
+
 A task's word list holds at most MEMO words; then it starts anew.  Words of
 more than LONG_WORD bytes (runs without any boundary) are merged by a heap in
 step 3, in n log n time instead of n squared; the result is the same.
@@ -32,6 +39,8 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from collections import Counter
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
@@ -45,8 +54,12 @@ from quire.llm.common import _arrow_schema, frugal, small_batches
 BUCKETS = 1 << 17
 LONG_WORD = 256
 MEMO = 400_000
+SAMPLE_ROWS, SAMPLE_CHARS = 24_000, 1 << 15
+VOCABULARY, VOCABULARY_BYTES = 1 << 19, 32  # words, and bytes of the longest
+DEALS = 64  # in which the vocabulary is folded
 _FIRST = 32
 _NONE = "\uffff"  # no token; behind all characters
+READY = "\x01"  # before a word's token characters; before all characters
 
 
 def default_tokenizer() -> str:
@@ -154,7 +167,6 @@ def fold(word: Column, table: Column) -> Column:
     def state(tokens, pairs):
         return _bind(pairs, lambda r: F.struct(tokens.alias("tokens"), r.alias("pairs"), F.array_min(F.split(r, "")).alias("least")))
 
-    end = F.lit(LONG_WORD)
     n = F.floor((F.length(word) + 1) / 2).cast("int")
 
     def merge(acc, i):
@@ -162,14 +174,13 @@ def fold(word: Column, table: Column) -> Column:
         t, r, new = acc["tokens"], acc["pairs"], acc["least"]
         before = F.when(i > 1, merged(F.concat(F.substring(t, i - 1, F.lit(1)), new))).otherwise("")
         after = F.when(i < F.length(r), merged(F.concat(new, F.substring(t, i + 2, F.lit(1))))).otherwise("")
-        tokens = F.concat(F.substring(t, F.lit(1), i - 1), new, F.substring(t, i + 2, end))
-        return state(tokens, F.concat(F.substring(r, F.lit(1), i - 2), before, after, F.substring(r, i + 2, end)))
+        return state(F.overlay(t, new, i, F.lit(2)), F.overlay(r, F.concat(before, after), i - 1, F.lit(3)))
 
     def step(acc, _):
         done = (acc["least"] == _NONE) | (acc["least"] == "")
         return F.when(done, acc).otherwise(_bind(F.instr(acc["pairs"], acc["least"]), lambda i: merge(acc, i)))
 
-    start = state(F.substring(word, F.lit(1), n), F.substring(word, n + 1, end))
+    start = state(F.substring(word, F.lit(1), n), F.substring(word, n + 1, n))
     return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["tokens"]))
 
 
@@ -208,6 +219,17 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
+
+def cutter() -> Callable[[str], list[str]]:
+    """The tokenizers' pattern as a function from a text to its pieces."""
+    import public_tokenizers
+    import regex
+
+    any_script = regex.compile(public_tokenizers.PATTERN).findall
+    latin, beyond = re.compile(_LATIN).findall, re.compile("[^\x00-\u024f]").search
+    return lambda text: any_script(text) if beyond(text) else latin(text)
+
+
 class Numbers(dict):
     """Numbers of words, by first appearance."""
 
@@ -217,52 +239,101 @@ class Numbers(dict):
 
 
 class Pieces:
-    """Binary pieces by id, laid end to end."""
+    """Binary pieces by id."""
 
     def __init__(self, ranks: dict[bytes, int]):
         by_id = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             by_id[rank] = token
-        self.sizes = np.array([len(p) for p in by_id], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.frombuffer(b"".join(by_id), np.uint8)
+        self.by_id = pa.array(by_id, pa.large_binary())
 
     def joined(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """For each stretch of ids between bounds, its pieces concatenated."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        data = self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[ids] - (ends - sizes), sizes)]
-        offsets = np.concatenate([[0], ends])[bounds].astype(np.int64)
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        _, ends, data = self.by_id.take(pa.array(ids)).buffers()  # laid end to end
+        offsets = np.frombuffer(ends, np.int64)[: len(ids) + 1][bounds]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), data])
 
 
 _NUMBERED = "ids array<long>, counts array<int>, numbers binary, words array<string>, fresh boolean"
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decoded: bool = False) -> DataFrame:
-    """(id, ids array<int>) of every row; decoded adds what the ids decode to (binary), their pieces concatenated in the same pass."""
-    spark = docs.sparkSession
-    path = tokenizer or default_tokenizer()
-    ranks = read_ranks(path)
-    types = _arrow_schema(spark, _NUMBERED)
+class Vocabulary:
+    """Words whose tokens are known, found by hash and compared."""
+
+    def __init__(self, words: pa.Array, tokens: pa.Array):
+        hashes = self.hashes_of(words.to_pylist())
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.words, self.tokens = hashes[order], words.take(order), tokens.take(order)
+
+    @staticmethod
+    def hashes_of(words: list[bytes]) -> np.ndarray:
+        import xxhash
+
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+    def __call__(self, words: list[bytes]) -> list[str | None]:
+        """READY and the tokens of each word that is here."""
+        if not len(self.hashes):
+            return [None] * len(words)
+        at = pa.array(np.searchsorted(self.hashes, self.hashes_of(words)).clip(max=len(self.hashes) - 1))
+        same = pc.equal(self.words.take(at), pa.array(words, self.words.type))
+        return self.tokens.take(pc.if_else(same, at, None)).to_pylist()
+
+
+def vocabulary(texts: DataFrame, path: str) -> Vocabulary | None:
+    """The commonest words of about SAMPLE_ROWS of the texts (the frame's one column); None for a table of no more rows."""
+    total = texts.count()
+    if total <= SAMPLE_ROWS:
+        return None
+    spark, column = texts.sparkSession, texts.columns[0]
+    schema = "word binary, handed string, times long"
+    types = _arrow_schema(spark, schema)
+
+    def count(batches):
+        cut, own = cutter(), read_ranks(path)
+        handing, times = Handing(own), Counter()
+
+        def counted():
+            found = [(b, n) for w, n in times.items() if len(b := w.encode("utf-8")) <= VOCABULARY_BYTES and b not in own]
+            words = [b for b, _ in found]
+            return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip((words, handing(words), [n for _, n in found]), types)], schema=types)
+
+        for batch in small_batches(batches, column, 4 << 20):
+            for text in batch.column(0).to_pylist():
+                times.update(cut(text) if text else [])
+            if len(times) > MEMO:
+                yield counted()
+                times.clear()
+        yield counted()
+
+    sampled = texts.sample(SAMPLE_ROWS / total, seed=7).select(F.substring(column, 1, SAMPLE_CHARS).alias(column))
+    counts = sampled.mapInArrow(frugal(count), schema).groupBy("word", "handed").agg(F.sum("times").alias("times"))
+    common = counts.orderBy(F.desc("times"), "word").limit(VOCABULARY).withColumn("deal", F.pmod(F.xxhash64("word"), F.lit(DEALS)))
+    dealt = common.repartition(DEALS, "deal").groupBy("deal").agg(F.collect_list(F.struct("word", "handed")).alias("words"))  # a row's copy of the ranks serves many words
+    tokens = F.transform("words", lambda w: F.struct(w["word"].alias("word"), F.concat(F.lit(READY), fold(w["handed"], F.col("ranks"))).alias("tokens")))
+    folded = dealt.withColumn("ranks", rank_table(spark, read_ranks(path))).select(F.inline(tokens)).toArrow()
+    return Vocabulary(folded["word"].combine_chunks(), folded["tokens"].combine_chunks())
+
+
+def numbered_words(rows: DataFrame, path: str) -> DataFrame:
+    """Of rows (id, text) the texts as lists of word numbers, with the words that are new in each batch, as they are handed on."""
+    types, text_col = _arrow_schema(rows.sparkSession, _NUMBERED), rows.columns[1]
+    common = vocabulary(rows.select(text_col), path)
+    shared = None if common is None else rows.sparkSession.sparkContext.broadcast(common)
 
     def number(batches):
-        import public_tokenizers
-        import regex
-
-        any_script = regex.compile(public_tokenizers.PATTERN).findall
-        latin, beyond = re.compile(_LATIN).findall, re.compile("[^\x00-\u024f]").search
-        own = read_ranks(path)
+        cut, own = cutter(), read_ranks(path)
         handing = Handing(own)
 
-        def cut(text):
-            return any_script(text) if beyond(text) else latin(text)
-
         def shown(words: list[bytes]) -> list[str]:
             """Words as they are handed on; one that is a token itself is its one character."""
-            found = list(map(own.get, words))
-            folded = iter(handing([w for w, r in zip(words, found) if r is None]))
-            return [character(r) if r is not None else next(folded) for r in found]
+            found = [None if r is None else character(r) for r in map(own.get, words)]
+            if shared:
+                rest = [k for k, f in enumerate(found) if f is None]
+                for k, ready in zip(rest, shared.value([words[k] for k in rest])):
+                    found[k] = ready
+            folded = iter(handing([w for w, f in zip(words, found) if f is None]))
+            return [next(folded) if f is None else f for f in found]
 
         known = Numbers()
         for batch in small_batches(batches, text_col, 4 << 20):
@@ -280,12 +351,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 schema=types,
             )
 
-    table = rank_table(spark, ranks)
+    return rows.mapInArrow(frugal(number), _NUMBERED)
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>) of every row; decoded adds what the ids decode to (binary), their pieces concatenated in the same pass."""
+    spark = docs.sparkSession
+    path = tokenizer or default_tokenizer()
+    table = rank_table(spark, read_ranks(path))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias(text_col))
-    numbered = rows.mapInArrow(frugal(number), _NUMBERED)
-    short = F.transform("words", lambda w: F.when(F.length(w) < 2 * LONG_WORD, fold(w, F.col("ranks"))))
+
+    def tokens_of(word):
+        ready = F.substring(word, F.lit(len(READY) + 1), F.length(word))
+        return F.when(F.startswith(word, F.lit(READY)), ready).when(F.length(word) < 2 * LONG_WORD, fold(word, F.col("ranks")))
+
+    short = F.transform("words", tokens_of)
     long_words = F.filter("words", lambda w: F.length(w) >= 2 * LONG_WORD)
-    folded = numbered.withColumn("ranks", table).select("ids", "counts", "numbers", short.alias("tokens"), long_words.alias("long_words"), "fresh")
+    folded = numbered_words(rows, path).withColumn("ranks", table).select("ids", "counts", "numbers", short.alias("tokens"), long_words.alias("long_words"), "fresh")
     out_schema = f"{id_col} long, ids array<int>" + (", decoded binary" if decoded else "")
     out_types = _arrow_schema(spark, out_schema)
 

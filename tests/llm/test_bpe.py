@@ -67,3 +67,42 @@ def test_decode_by_expressions(spark, texts):
 
 def test_empty_table(spark):
     assert bpe.digest(bpe.encode(documents(spark, ["a"]).limit(0), decoded=True)).count() == 0
+
+
+@pytest.fixture
+def small_sample(monkeypatch):
+    monkeypatch.setattr(bpe, "SAMPLE_ROWS", 40)
+    monkeypatch.setattr(bpe, "SAMPLE_CHARS", 10_000)
+
+
+@pytest.mark.parametrize("size", [bpe.VOCABULARY, 30])
+def test_ids_with_a_vocabulary(spark, texts, small_sample, monkeypatch, size):
+    monkeypatch.setattr(bpe, "VOCABULARY", size)
+    rows = bpe.digest(bpe.encode(documents(spark, texts).repartition(3), decoded=True)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        ids = ENCODING.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(text.encode())), text[:80]
+
+
+def test_words_common_to_tasks_are_folded_once(spark, small_sample):
+    common = ["Thntatre lesenre", "zuenung zuenung", "tzkeittz lasdora"]
+    rows = spark.createDataFrame([(k, common[k % 3] + (" qxvjkwzrare" if k == 5 else "")) for k in range(400)], "id long, text string").repartition(4)
+    handed = [w for r in bpe.numbered_words(rows, bpe.default_tokenizer()).collect() for w in r.words]
+    folded = [w for w in handed if len(w) > 1 and not w.startswith(bpe.READY)]
+    assert len([w for w in handed if w.startswith(bpe.READY)]) >= 4 and len(folded) <= 1
+
+
+def test_vocabulary_is_bounded_and_right(spark, texts, small_sample, monkeypatch):
+    monkeypatch.setattr(bpe, "VOCABULARY", 25)
+    found = bpe.vocabulary(documents(spark, texts).select("text"), bpe.default_tokenizer())
+    words = [bytes(w) for w in found.words.to_pylist()]
+    assert 0 < len(words) <= 25 and found([b"qxvjkwzrare", b""]) == [None, None]
+    for word, tokens in zip(words, found(words)):
+        assert [ord(c) - ord(bpe.character(0)) for c in tokens.removeprefix(bpe.READY)] == ENCODING._core_bpe.encode_single_piece(word)
+
+
+def test_vocabulary_without_words(spark, small_sample):
+    rows = bpe.encode(documents(spark, ["a", None, ""] * 30)).collect()
+    assert [list(r.ids) for r in sorted(rows, key=lambda r: r.doc_id)] == [ENCODING.encode_ordinary("a"), [], []] * 30
