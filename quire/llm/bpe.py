@@ -20,9 +20,10 @@ Decoding maps ids to their binary pieces by an array literal and joins them.
 
 Most words of a task are words of other tasks, too.  Of a table of more than
 SAMPLE_ROWS rows, about so many are therefore cut first (SAMPLE_CHARS of each at
-most), and their VOCABULARY commonest words folded, by the same fold, once and
-broadcast.  Which words these are changes the work only: all others are folded
-in their tasks.
+most), their words counted by a shuffle, and the VOCABULARY commonest ones folded,
+by the same fold, once and broadcast.  Which words these are changes the work
+only: all others are folded in their tasks.  The given rows are read three times:
+counted, sampled and encoded.
 
 A task's word list holds at most MEMO words; then it starts anew.  Words of
 more than LONG_WORD bytes (runs without any boundary) are merged by a heap in
@@ -298,7 +299,7 @@ def vocabulary(texts: DataFrame, path: str) -> Vocabulary | None:
             words = [b for b, _ in found]
             return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip((words, handing(words), [n for _, n in found]), types)], schema=types)
 
-        for batch in small_batches(batches, column, 4 << 20):
+        for batch in small_batches(batches, column):
             for text in batch.column(0).to_pylist():
                 times.update(cut(text) if text else [])
             if len(times) > MEMO:
@@ -336,7 +337,7 @@ def numbered_words(rows: DataFrame, path: str) -> DataFrame:
             return [next(folded) if f is None else f for f in found]
 
         known = Numbers()
-        for batch in small_batches(batches, text_col, 4 << 20):
+        for batch in small_batches(batches, text_col):
             fresh = len(known) > MEMO
             if fresh:
                 known.clear()
