@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding by Spark higher-order functions.
 
-Encoding runs in three steps without a shuffle:
+Encoding runs in three steps, with one shuffle after the first:
 
 1. texts are cut into the pieces of the tokenizer's pattern; each task numbers
    its distinct pieces (words) and hands new ones on with every batch of
    texts, which are then lists of word numbers.  A word is handed on as its
    byte array with one character a byte, that of the byte's id, followed by
    what its neighbouring bytes merge to; a word of the vocabulary (below) is
-   handed on as READY and its token characters;
+   handed on as READY and its token characters.  Batches go by a shuffle, each
+   task's together and in order: so no Spark task keeps two Python workers, and
+   the fold's garbage and the word lists aren't in memory together;
 2. Spark folds the ranked merges over the bytes of each distinct word: the
    state is the string of token characters and the string of the characters
    that neighbouring pairs merge to.  Characters are in the order of ranks, so
@@ -42,11 +44,11 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Callable
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +57,14 @@ from quire.llm.common import _arrow_schema, frugal, small_batches
 BUCKETS = 1 << 17
 LONG_WORD = 256
 MEMO = 400_000
+BATCH_BYTES = 1 << 20  # of text in a batch, which is a row with its new words
 SAMPLE_ROWS, SAMPLE_CHARS = 24_000, 1 << 15
 VOCABULARY, VOCABULARY_BYTES = 1 << 19, 32  # words, and bytes of the longest
 DEALS = 64  # in which the vocabulary is folded
 _FIRST = 32
 _NONE = "\uffff"  # no token; behind all characters
 READY = "\x01"  # before a word's token characters; before all characters
+NEXT = "\x02"  # between words as they are handed on
 
 
 def default_tokenizer() -> str:
@@ -232,10 +236,14 @@ def cutter() -> Callable[[str], list[str]]:
 
 
 class Numbers(dict):
-    """Numbers of words, by first appearance."""
+    """Numbers of words, by first appearance; new: those that came since it was emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
+        self.new.append(word)
         return number
 
 
@@ -255,7 +263,20 @@ class Pieces:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), data])
 
 
-_NUMBERED = "ids array<long>, counts array<int>, numbers binary, words array<string>, fresh boolean"
+def packed(numbers: np.ndarray) -> bytes:
+    """int32 numbers for the shuffle: their first bytes, second bytes and so on, compressed."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes, codec="zstd", asbytes=True) if len(numbers) else b""
+
+
+def unpacked(data: pa.Buffer, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int32)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
+_NUMBERED = "ids array<long>, counts array<int>, numbers binary, words string, fresh boolean, task int, place int"
 
 
 class Vocabulary:
@@ -317,7 +338,11 @@ def vocabulary(texts: DataFrame, path: str) -> Vocabulary | None:
 
 
 def numbered_words(rows: DataFrame, path: str) -> DataFrame:
-    """Of rows (id, text) the texts as lists of word numbers, with the words that are new in each batch, as they are handed on."""
+    """Of rows (id, text) the texts as lists of word numbers, with the words that are new in each batch, as they are handed on.
+
+    task and place: which task made the batch, and as its how many-th; fresh: its word list starts here.  A
+    task's batches stand together and in order.
+    """
     types, text_col = _arrow_schema(rows.sparkSession, _NUMBERED), rows.columns[1]
     common = vocabulary(rows.select(text_col), path)
     shared = None if common is None else rows.sparkSession.sparkContext.broadcast(common)
@@ -336,23 +361,24 @@ def numbered_words(rows: DataFrame, path: str) -> DataFrame:
             folded = iter(handing([w for w, f in zip(words, found) if f is None]))
             return [next(folded) if f is None else f for f in found]
 
-        known = Numbers()
-        for batch in small_batches(batches, text_col):
-            fresh = len(known) > MEMO
+        known, task = Numbers(), TaskContext.get().partitionId()
+        for place, batch in enumerate(small_batches(batches, text_col, BATCH_BYTES)):
+            fresh = not place or len(known) > MEMO
             if fresh:
                 known.clear()
-            first, counts, numbers = len(known), [], []
+            counts, numbers = [], [np.zeros(0, np.int32)]
             for text in batch.column(1).to_pylist():
                 words = cut(text) if text else []
                 counts.append(len(words))
-                numbers.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)).tobytes())
-            new = shown([w.encode("utf-8") for w in islice(known, first, None)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(0).to_pylist()], types[0].type), pa.array([counts], types[1].type), pa.array([b"".join(numbers)], types[2].type), pa.array([new], types[3].type), pa.array([fresh])],
-                schema=types,
-            )
+                numbers.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+            words = shown([w.encode("utf-8") for w in known.new])
+            known.new.clear()
+            row = batch.column(0).to_pylist(), counts, packed(np.concatenate(numbers)), NEXT.join(words) or None, fresh, task, place
+            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, types)], schema=types)
 
-    return rows.mapInArrow(frugal(number), _NUMBERED)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task's batches go to the partition of its number: evenly, where hashes would meet
+    met = rows.mapInArrow(frugal(number), _NUMBERED).repartitionById(parts, "task").sortWithinPartitions("task", "place")
+    return met.withColumn("words", F.coalesce(F.split("words", NEXT), F.array().cast("array<string>")))  # joined, a batch takes less of the shuffle
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decoded: bool = False) -> DataFrame:
@@ -374,7 +400,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     def resolve(batches):
         table_of, pieces = None, None
-        flat, sizes = [], []  # ids of the task's words
+        flat, sizes = [], []  # ids of the words of the task that made the batch
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
@@ -398,11 +424,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     flat, sizes = [np.concatenate(flat)], [np.concatenate(sizes)]
                 size, value = sizes[0], flat[0]
                 start = np.cumsum(size) - size
-                numbers = np.frombuffer(row.column(2)[0].as_buffer(), np.int32)
+                counts = row.column(1).flatten().to_numpy()
+                numbers = unpacked(row.column(2)[0].as_buffer(), int(counts.sum(dtype=np.int64)))
                 each = size[numbers]
                 ends = np.cumsum(each)
                 ids = value[np.arange(int(each.sum())) + np.repeat(start[numbers] - (ends - each), each)]
-                bounds = np.cumsum(row.column(1).flatten().to_numpy())
+                bounds = np.cumsum(counts)
                 offsets = np.concatenate([[0], np.concatenate([[0], ends])[bounds]]).astype(np.int32)
                 columns = [row.column(0).flatten().cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)).cast(out_types[1].type)]
                 if decoded:

@@ -106,3 +106,29 @@ def test_vocabulary_is_bounded_and_right(spark, texts, small_sample, monkeypatch
 def test_vocabulary_without_words(spark, small_sample):
     rows = bpe.encode(documents(spark, ["a", None, ""] * 30)).collect()
     assert [list(r.ids) for r in sorted(rows, key=lambda r: r.doc_id)] == [ENCODING.encode_ordinary("a"), [], []] * 30
+
+
+def test_no_task_keeps_two_python_workers(spark, texts):
+    plan = bpe.encode(documents(spark, texts))._jdf.queryExecution().executedPlan().toString().splitlines()
+    kinds = [kind for line in plan for kind in ("MapInArrow", "Exchange") if kind in line]
+    assert kinds[-3:] == ["MapInArrow", "Exchange", "MapInArrow"]
+
+
+@pytest.mark.parametrize("memo", [bpe.MEMO, 50])
+def test_word_lists_of_tasks_that_share_a_partition(spark, texts, monkeypatch, memo):
+    monkeypatch.setattr(bpe, "MEMO", memo)
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 2_000)
+    rows = bpe.encode(documents(spark, texts).repartition(11), decoded=True).collect()  # 4 partitions
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert (list(r.ids), bytes(r.decoded).decode()) == (ENCODING.encode_ordinary(text), text), text[:80]
+
+
+def test_numbers_packed_for_the_shuffle():
+    import numpy as np
+    import pyarrow as pa
+
+    for numbers in ([], [0], [5, 70_000, 2**31 - 1, 0], list(range(100_000))):
+        data = bpe.packed(np.array(numbers, np.int32))
+        assert bpe.unpacked(pa.py_buffer(data), len(numbers)).tolist() == numbers and len(data) < 2 * len(numbers) + 40
